@@ -11,6 +11,8 @@ patterns that stay reliable discover the identifiers the base has not seen.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,27 +26,49 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A token with a digit or an at sign.
-TOKEN = r"[^\x00-\x20\x7F]++"
+SPACES = r"[\x00-\x20\x7F]+"
 #: Code points on either side in which the words around a token are looked for.
 CONTEXT = 120
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 SPAN = "array<struct<start:int,end:int,hit:string>>"
+PLACED = "array<struct<start:int,end:int,hit:string,gap:string,after:string>>"
+MARK = "\uffff"
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` evaluated once, though used inside lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def parted(text: Column, pattern: str) -> Column:
+    """What stands between matches and the matches, in turn: an odd number of
+    strings.  One linear pass marks the matches; a text that holds the mark
+    itself (a noncharacter) takes the slower way."""
+    marked = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    hits = F.concat(F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda h: F.array(h)), F.array(F.array().cast("array<string>")))
+    slow = F.flatten(F.zip_with(F.split(text, pattern, -1), hits, lambda g, h: F.concat(F.array(g), h)))
+    return F.when(F.contains(text, F.lit(MARK)), slow).otherwise(marked)
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Array of (start, end, hit) of all matches, in code points, end exclusive:
-    the text split at the matches gives what stands between them."""
-    hits, between = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    """Array of (start, end, hit, gap, after) of all matches, in code points, end
+    exclusive; ``gap`` and ``after`` stand before and behind."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(PLACED).alias("spans"))
 
     def step(a, x):
         start = a["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(a["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("spans"))
+        return F.struct(end.alias("at"), F.concat(a["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["gap"].alias("gap"), x["after"].alias("after")))).alias("spans"))
+
+    def place(parts):
+        pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), lambda k: F.struct(F.get(parts, k - 1).alias("gap"), F.get(parts, k).alias("hit"), F.get(parts, k + 1).alias("after")))
+        return F.when(F.size(parts) > 1, F.aggregate(pairs, empty, step, lambda a: a["spans"])).otherwise(F.array().cast(PLACED))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, empty, step, lambda a: a["spans"])).otherwise(F.array().cast(SPAN))
+    return let(parted(text, pattern), place)
+
+
+def plain(spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit")))
 
 
 def digits(x: Column) -> Column:
@@ -64,11 +88,15 @@ def base_spans(text: Column) -> Column:
     def count(x, low, high):
         return F.length(digits(x["hit"])).between(low, high)
 
+    def found(when, pattern, test=None):
+        spans = located(text, pattern)
+        return F.when(when, plain(F.filter(spans, test) if test else spans)).otherwise(none)
+
     return F.struct(
-        F.when(F.contains(text, F.lit("@")), located(text, EMAIL)).otherwise(none).alias("email"),
-        F.when(numeric, F.filter(located(text, IP), lambda x: x["hit"].rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"))).otherwise(none).alias("ip"),
-        F.when(numeric, F.filter(located(text, r"(?<![0-9])" + CARD), lambda x: F.when(count(x, 13, 19), luhn(digits(x["hit"]))).otherwise(F.lit(False)))).otherwise(none).alias("card"),
-        F.when(F.contains(text, F.lit("+")), F.filter(located(text, PHONE), lambda x: count(x, 9, 15))).otherwise(none).alias("phone"),
+        found(F.contains(text, F.lit("@")), EMAIL).alias("email"),
+        found(numeric, IP, lambda x: x["hit"].rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")).alias("ip"),
+        found(numeric, r"(?<![0-9])" + CARD, lambda x: F.when(count(x, 13, 19), luhn(digits(x["hit"]))).otherwise(F.lit(False))).alias("card"),
+        found(F.contains(text, F.lit("+")), PHONE, lambda x: count(x, 9, 15)).alias("phone"),
     )
 
 
@@ -80,21 +108,15 @@ def _candidates(text: Column) -> Column:
     """Identifier-like tokens: (start, end, hit, before, after), where ``before``
     and ``after`` are the two words ahead and the one behind, normalised."""
     identifier = r"(?<![^\x00-\x20\x7F])[^\x00-\x20\x7F0-9@]*+[0-9@][^\x00-\x20\x7F]*+"
-    between = F.split(text, identifier, -1)
-    near = F.zip_with(
-        located(text, identifier),
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(between) - 2)),
-        lambda s, i: F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            s["hit"].alias("hit"),
-            F.array_join(F.transform(F.reverse(F.slice(F.reverse(F.regexp_extract_all(F.substring(F.get(between, i), -CONTEXT, CONTEXT), F.lit(TOKEN), 0)), 1, 2)), _word), " ").alias("before"),
-            _word(F.regexp_extract(F.substring(F.get(between, i + 1), 1, CONTEXT), rf"^[\x00-\x20\x7F]*({TOKEN})", 1)).alias("after"),
-        ),
-    )
     kind = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
-    wanted = F.filter(near, lambda x: x["hit"].isNotNull() & (F.length(x["hit"]) <= 64) & ((F.length(digits(x["hit"])) >= 4) | F.contains(x["hit"], F.lit("@"))))
-    return F.when(text.rlike("[0-9]{2}|@"), wanted).otherwise(F.array().cast(kind)).cast(kind)
+    wanted = F.filter(located(text, identifier), lambda x: (F.length(x["hit"]) <= 64) & ((F.length(digits(x["hit"])) >= 4) | F.contains(x["hit"], F.lit("@"))))
+
+    def around(x):
+        ahead = F.slice(F.reverse(F.array_remove(F.split(F.substring(x["gap"], -CONTEXT, CONTEXT), SPACES, -1), "")), 1, 2)
+        behind = F.get(F.array_remove(F.split(F.substring(x["after"], 1, CONTEXT), SPACES, -1), ""), F.lit(0))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), F.array_join(F.transform(F.reverse(ahead), _word), " ").alias("before"), F.coalesce(_word(behind), F.lit("")).alias("after"))
+
+    return F.when(text.rlike("[0-9]{2}|@"), F.transform(wanted, around)).otherwise(F.array().cast(kind)).cast(kind)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
