@@ -13,31 +13,43 @@ from pyspark.sql import functions as F
 
 from mendframe.llm.common import ascii_lower, known_id
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WINDOW = "struct<start:int,len:int,h:bigint>"
+#: What stands between words (of lower-cased text).
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WINDOW = "struct<start:int,len:int,s:bigint>"
 #: Bytes of n-gram text up to which the hash table is broadcast.
 BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
     """Lower-cased (A-Z) words: runs of digits, letters and non-ASCII characters."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), 0)
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), GAP, -1), "")
 
 
 def item_grams(items: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = 13) -> DataFrame:
-    """(gram_hash, gram_len, gram, items): each different window of the test
+    """(gram_hash, gram_len, gram, items), ``gram_hash`` as :func:`sketch` has it:
+    each different window of the test
     items and the sorted ids (as strings) of the items that hold it.  An item
     of fewer words, but not none, is one window.  A null id is written ''."""
     split = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     windows = F.when(F.size("w") <= n, F.array(F.col("w"))).otherwise(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n)))
-    grams = split.select("item", F.explode(windows).alias("g")).select("item", F.xxhash64("g").alias("gram_hash"), F.size("g").alias("gram_len"), F.array_join("g", " ").alias("gram"))
+    grams = split.select("item", F.explode(windows).alias("g"))
+    hashed = F.transform("g", lambda x: F.xxhash64(x))
+    grams = grams.select("item", "g", hashed.alias("h"), F.size("g").alias("gram_len"))
+    grams = grams.select("item", F.xxhash64(F.get("h", F.lit(0)), F.get("h", F.floor(F.col("gram_len") / 2).cast("int")), F.get("h", F.col("gram_len") - 1), F.col("gram_len")).alias("gram_hash"), "gram_len", F.array_join("g", " ").alias("gram"))
     return grams.groupBy("gram_hash", "gram_len", "gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
+def sketch(k: int, i: Column) -> Column:
+    """A hash of the window of ``k`` words at ``i``: of its first, middle and last
+    word's hashes (array ``h``) and ``k``.  It finds candidates, which are then
+    compared word by word."""
+    return F.xxhash64(F.get("h", i), F.get("h", i + k // 2), F.get("h", i + (k - 1)), F.lit(k))
+
+
 def _windows(k: int) -> Column:
-    """(start, len, h) of each window of ``k`` words of the array ``w``."""
-    every = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.struct((i - 1).alias("start"), F.lit(k).alias("len"), F.xxhash64(F.slice("w", i, k)).alias("h")))
-    return F.when(F.size("w") >= k, every).otherwise(F.array().cast(f"array<{WINDOW}>"))
+    """(start, len, s) of each window of ``k`` words of the array with hashes ``h``."""
+    every = F.transform(F.sequence(F.lit(0), F.size("h") - k), lambda i: F.struct(i.alias("start"), F.lit(k).alias("len"), sketch(k, i).alias("s")))
+    return F.when(F.size("h") >= k, every).otherwise(F.array().cast(f"array<{WINDOW}>"))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 13) -> DataFrame:
@@ -56,8 +68,11 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     text = F.col(text_col).cast("string")
     base = docs.select(known_id(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row"), words(text).alias("w"))
     windows = [F.array(F.lit(None).cast(WINDOW)), *(_windows(r["gram_len"]) for r in sorted(size))]
-    scan = base.select("id", "row", "w", F.explode(F.concat(*windows)).alias("x"))
-    meet = (F.col("x.h") == F.col("gram_hash")) & (F.col("x.len") == F.col("gram_len")) & (F.array_join(F.slice("w", F.col("x.start") + 1, F.col("x.len")), " ") == F.col("gram"))
+    hashed = base.select("id", "row", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    scan = hashed.select("id", "row", "w", F.explode(F.concat(*windows)).alias("x"))
+    held = F.array_join(F.slice("w", F.col("x.start") + 1, F.col("x.len")), " ")
+    # equality, put so that it isn't a join key: keys are computed for every window
+    meet = (F.col("x.s") == F.col("gram_hash")) & F.startswith(held, F.col("gram")) & F.startswith(F.col("gram"), held)
     found = scan.join(grams, meet, "left").where(F.col("x").isNull() | F.col("gram").isNotNull())
     hit = F.when(F.col("x").isNotNull(), F.struct(F.col("x.start").alias("start"), F.col("x.len").alias("len")))
     per_doc = found.select("id", "row", F.when(F.col("x").isNull(), F.size("w")).alias("n"), hit.alias("hit"), "items")
@@ -89,11 +104,16 @@ def remove_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     keyed = docs.withColumns({"__mf_id": known_id(id_col), "__mf_row": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
     hits = overlaps(docs, items, id_col, text_col, n=n).where("n_hit > 0").select(F.col("id").alias("__mf_id"), F.col("row").alias("__mf_row"), F.col("hits").alias("__mf_hits")).dropDuplicates(["__mf_id", "__mf_row"])
     joined = keyed.join(hits, ["__mf_id", "__mf_row"], "left")
-    # pieces[i] stands before word i; the words themselves are taken in their own case
-    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    text = F.col(text_col).cast("string")
+    # pieces[i] stands before word i; words and pieces alternate, in their own case
+    edge = r"(?<=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])|(?<=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
+    inside = r"^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    both = F.split(F.col(text_col).cast("string"), edge, -1)
     hit_at = F.array_distinct(F.flatten(F.transform("__mf_hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1))))
-    joined = joined.withColumns({"__mf_w": F.when(F.col("__mf_hits").isNotNull(), F.regexp_extract_all(text, F.lit(word), 0)), "__mf_p": F.when(F.col("__mf_hits").isNotNull(), F.split(text, word, -1)), "__mf_at": hit_at})
+    joined = joined.withColumns({"__mf_both": F.when(F.col("__mf_hits").isNotNull(), both), "__mf_at": hit_at})
+    joined = joined.withColumn("__mf_w", F.filter("__mf_both", lambda x: x.rlike(inside)))
+    gaps = F.filter("__mf_both", lambda x: (x != "") & ~x.rlike(inside))
+    gaps = F.when(F.get("__mf_both", F.lit(0)).rlike(inside), F.concat(F.array(F.lit("")), gaps)).otherwise(gaps)
+    joined = joined.withColumn("__mf_p", F.concat(gaps, F.array(F.lit(""))))
     joined = joined.withColumn("__mf_left", F.array_except(F.sequence(F.lit(0), F.size("__mf_w") - 1), F.col("__mf_at")))
     joined = joined.withColumn("__mf_left", F.concat(F.array(F.lit(-1)), F.col("__mf_left")))
     last = F.size("__mf_w") - 1
@@ -104,4 +124,4 @@ def remove_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         return F.concat(F.when(p >= 0, F.get("__mf_w", p)).otherwise(F.lit("")), gap)
 
     clean = F.array_join(F.transform("__mf_left", piece), "")
-    return joined.withColumn(text_col, F.when(F.col("__mf_hits").isNotNull(), clean).otherwise(F.col(text_col))).drop("__mf_id", "__mf_row", "__mf_hits", "__mf_w", "__mf_p", "__mf_at", "__mf_left")
+    return joined.withColumn(text_col, F.when(F.col("__mf_hits").isNotNull(), clean).otherwise(F.col(text_col))).drop("__mf_id", "__mf_row", "__mf_hits", "__mf_both", "__mf_w", "__mf_p", "__mf_at", "__mf_left")
