@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendframe.llm.common import ascii_lower, known_id
+from mendframe.llm.common import ascii_lower, cut, known_id
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -36,7 +36,9 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_char
         held = held.where(F.lit(min_docs <= 1) | (F.col("keeper") < F.col("last")))
     else:
         held = lines.select("h", "g", "__mf_id").distinct().groupBy("h", "g").agg(F.min("__mf_id").alias("keeper"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    gone = lines.join(held.select("h", "g", "keeper"), ["h", "g"]).where("__mf_id <> keeper")
+    # a table, so that both sides of the join are plain exchanges and a line that
+    # very many documents hold can be split over tasks
+    gone = lines.join(cut(held.select("h", "g", "keeper"), "lines"), ["h", "g"]).where("__mf_id <> keeper")
     gone = gone.groupBy("__mf_id", "__mf_row").agg(F.collect_set("pos").alias("__mf_gone"))
     found = rows.join(gone, ["__mf_id", "__mf_row"], "left").withColumn("__mf_lines", F.split(text, "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("__mf_lines") - 1), F.col("__mf_gone"))
