@@ -49,8 +49,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         near = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = cut(least, "least")  # a plain side, so that a hub's edges can be split over tasks
         return near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 

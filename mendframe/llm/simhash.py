@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendframe.llm.common import by_batch, cut, given_id, known_id
@@ -98,9 +98,31 @@ def blocking_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(sides)
 
 
+def first_tag(x: Column) -> Column:
+    """The kind of key at which a pair whose bits differ as ``x`` is reported, of
+    all the kinds that find it: the rules of :func:`blocking_keys`, in order."""
+    masks = [((1 << width) - 1) << at for at, width in SEGMENTS]
+
+    def errors(mask):
+        return F.bit_count(x.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
+
+    e = [errors(m) for m in masks]
+    tag = None
+    for i in range(3):
+        j, other = (k for k in range(3) if k != i)
+        value = F.when(e[j] <= 2, 3 * i + j).otherwise(3 * i + other)
+        tag = F.when(e[i] == 0, value) if tag is None else tag.when(e[i] == 0, value)
+    for k, (i, j) in enumerate(((1, 2), (0, 2), (0, 1))):
+        parts = [errors(((1 << width) - 1) << (SEGMENTS[k][0] + at)) == 0 for at, width in PARTS[k]]
+        value = F.when(parts[0], 9 + 3 * k).when(parts[1], 10 + 3 * k).otherwise(11 + 3 * k)
+        tag = tag.when((e[i] == 1) & (e[j] == 1), value)
+    return tag
+
+
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v): every pair of different fingerprints of ``fps`` (one column ``fp``,
-    distinct) within ``radius`` <= 4 bits, at least once."""
+    distinct) within ``radius`` <= 4 bits; it is reported at one kind of key, so
+    hardly more than once."""
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the keys cover a radius of 0 to {RADIUS} bits")
 
@@ -118,12 +140,15 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                 yield batch.slice(at, 4096)
 
     run = by_batch(make)
-    keys = fps.select("fp").mapInArrow(lambda b: run(small(b)), "key long, fp long, side byte")
+    # a row becomes 128: dealt out first, however few bytes the fingerprints are
+    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keys = dealt.mapInArrow(lambda b: run(small(b)), "key long, fp long, side byte")
     a, b = keys.alias("a"), keys.alias("b")
+    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     # both sides share one exchange: nothing here can be pushed below it
-    meet = (F.col("a.key") == F.col("b.key")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius) & (F.col("a.fp") != F.col("b.fp"))
-    meet &= (F.col("a.side") * 3 + F.col("b.side")).isin(0, LEFT * 3 + RIGHT)
-    return a.join(b, meet).select(F.least("a.fp", "b.fp").alias("u"), F.greatest("a.fp", "b.fp").alias("v"))
+    meet = (F.col("a.key") == F.col("b.key")) & (F.bit_count(x) <= radius) & (F.col("a.fp") < F.col("b.fp"))
+    meet &= (F.col("a.side") * 3 + F.col("b.side")).isin(BOTH, LEFT * 3 + RIGHT) & (F.shiftright("a.key", 50) == first_tag(x))
+    return a.join(b, meet).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = RADIUS) -> DataFrame:
