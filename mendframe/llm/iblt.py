@@ -29,7 +29,7 @@ WORDS_A_PARAGRAPH, SHORT_TEXT, GRAM = 6, 400, 5
 #: Odd multipliers that derive cells and check sums from a digest (fixed values; any odd numbers do).
 SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 CHECK = np.uint64(0xD6E8FEB86659FD93)
-PARTITION_BYTES = 32 << 20
+PARTITION_BYTES = 16 << 20
 
 
 def paragraphs(text: str) -> list[bytes]:
@@ -191,7 +191,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     table = docs.sparkSession.createDataFrame([(int(i), b) for i, b in heads.items()], "id long, to int")
     first = base.join(F.broadcast(table), "id").groupBy("id", "to").agg(F.min("text").alias("text"))
     rows = dealt.select("bucket", F.lit(False).alias("head"), "id", "text").unionByName(first.select(F.col("to").alias("bucket"), F.lit(True).alias("head"), "id", "text"))
-    return rows.repartition(max(1, len(cuts) + 1), "bucket").sortWithinPartitions("bucket", "head", F.desc("id"), "text")
+    return rows.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "head", F.desc("id"), "text")
 
 
 def edited(text: str, following: str) -> str:
