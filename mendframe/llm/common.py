@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id inside an operator, so that null ids join and sort (first).
 NO_ID = -(1 << 63)
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,7 +47,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     nothing is lost with an executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/mendframe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")  # shuffle files go when the table is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

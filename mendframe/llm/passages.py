@@ -3,18 +3,21 @@ whose word sequence starts anywhere else takes its words with it.
 
 1. *Candidates.*  Winnowing picks, in every window, the least-hashed phrase of
    ``phrase`` words; equal windows pick the same one, and about one word in
-   fourteen begins a picked phrase.  Only picked phrases are shuffled, and those
-   that occur at least twice recur.
-2. *Automata.*  Each shard of documents (a bounded batch, joined to the
-   recurring phrases its documents were found to hold) compiles its phrases
-   into an Aho-Corasick automaton over word numbers and streams its documents
-   through it, which locates every occurrence.
-3. *Confirmation.*  Windows around an occurrence are hashed whole (128 bits) and
-   counted over the corpus; those seen at least twice are repeats.
+   fourteen begins a picked phrase.  A pick owns a run of windows.  Only picks
+   are shuffled, and phrases picked at least twice recur.
+2. *Passages.*  A pick whose whole run of windows (one hash) occurs again is
+   settled: all its windows are repeats.  That is the inside of every recurring
+   passage, at one row for some fourteen windows.
+3. *Automata.*  What is left are the picks at the edges, and one representative
+   of each settled run of the same phrase.  Each shard of the documents with
+   such picks compiles its phrases into an Aho-Corasick automaton over word
+   numbers and streams its documents through it, which locates the occurrences;
+   their windows are hashed whole (128 bits) and counted over the corpus.
 4. *Removal.*  The repeats' runs come back to their documents.
 
-Hashes of phrases only ever add candidates.  The texts are shuffled once, by
-document (both joins share that exchange).
+Hashes of phrases only ever add candidates.  A passage that very many documents
+hold is one hot key: counts are aggregated before they are shuffled, and both
+sides of the joins are written tables, so that its rows can be split over tasks.
 """
 
 from __future__ import annotations
@@ -66,47 +69,67 @@ def rolling(h: np.ndarray, width: int, mix: int) -> np.ndarray:
     return total ^ total >> np.uint64(32)
 
 
-def picked(phrases: np.ndarray, reach: int) -> np.ndarray:
-    """Positions that are the last least value of some ``reach`` consecutive ones."""
-    if len(phrases) < reach:
-        return np.empty(0, dtype=np.int64)
-    found = []
-    for at in range(0, len(phrases) - reach + 1, 1 << 16):  # bounded memory for any text
-        views = np.lib.stride_tricks.sliding_window_view(phrases[at : at + (1 << 16) + reach - 1], reach)
-        last = reach - 1 - np.argmin(views[:, ::-1], axis=1)
-        found.append(np.unique(last + np.arange(len(views)) + at))
-    return np.unique(np.concatenate(found))
+def owners(phrases: np.ndarray, reach: int) -> np.ndarray:
+    """For each ``reach`` consecutive values, the position of the last least one."""
+    n = len(phrases) - reach + 1
+    out = np.empty(max(n, 0), dtype=np.int64)
+    for at in range(0, n, 1 << 16):  # bounded memory for any text
+        views = np.lib.stride_tricks.sliding_window_view(phrases[at : min(n, at + (1 << 16)) + reach - 1], reach)
+        out[at : at + len(views)] = reach - 1 - np.argmin(views[:, ::-1], axis=1) + np.arange(len(views)) + at
+    return out
+
+
+def stretches(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of values from ``starts`` to ``ends``: prefix
+    sums with falling powers of an odd number, scaled back to the run's start."""
+    powers = np.full(len(h) + 1, MIX_HIGH, dtype=np.uint64)
+    falling = np.full(len(h), pow(MIX_HIGH, -1, 1 << 64), dtype=np.uint64)
+    powers[0] = 1
+    if len(h):
+        falling[0] = 1
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * np.cumprod(falling))])
+    total = (sums[ends] - sums[starts]) * np.cumprod(powers)[starts] + (ends - starts).astype(np.uint64)
+    total ^= total >> np.uint64(29)
+    total *= np.uint64(MIX)
+    return total ^ total >> np.uint64(32)
 
 
 def _picks(docs: DataFrame, width: int, phrase: int) -> DataFrame:
-    """(id, row, phrase, n): the picked phrases of each text with their counts."""
+    """(id, row, phrase, run, start, windows): each pick of each text; it owns
+    ``windows`` windows from ``start`` on, and ``run`` is the hash of all their words."""
 
     def make():
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            every, counts, sizes = [], [], []
+            columns: list[list[np.ndarray]] = [[], [], [], []]
+            sizes = []
             for text in batch.column(2).to_pylist():
                 h = word_hashes(words_of(text))
-                grams = rolling(h, phrase, MIX) if len(h) >= width else np.empty(0, dtype=np.uint64)
-                values, n = np.unique(grams[picked(grams, width - phrase + 1)], return_counts=True)
-                every.append(values)
-                counts.append(n)
-                sizes.append(len(values))
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            take = [batch.column(k).take(pa.array(row)) for k in (0, 1)]
-            return pa.record_batch([*take, pa.array(np.concatenate(every).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int32))], names=["id", "row", "phrase", "n"])
+                if len(h) < width:
+                    sizes.append(0)
+                    continue
+                grams = rolling(h, phrase, MIX)
+                own = owners(grams, width - phrase + 1)
+                starts = np.concatenate([[0], np.nonzero(np.diff(own))[0] + 1])
+                windows = np.diff(np.concatenate([starts, [len(own)]]))
+                for c, x in zip(columns, (grams[own[starts]].view(np.int64), stretches(h, starts, starts + windows + width - 1).view(np.int64), starts.astype(np.int32), windows.astype(np.int32)), strict=True):
+                    c.append(x)
+                sizes.append(len(starts))
+            row = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            kinds = (np.int64, np.int64, np.int32, np.int32)
+            return pa.record_batch([batch.column(0).take(row), batch.column(1).take(row), *(pa.array(np.concatenate([np.empty(0, k), *c])) for c, k in zip(columns, kinds, strict=True))], names=["id", "row", "phrase", "run", "start", "windows"])
 
         return turn
 
-    return docs.mapInArrow(by_batch(make), "id long, row long, phrase long, n int")
+    return docs.mapInArrow(by_batch(make), "id long, row long, phrase long, run long, start int, windows int")
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, list[bytes], np.ndarray]]]:
-    """Bounded groups of (id, row, words, recurring phrases)."""
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, list[bytes], list[dict]]]]:
+    """Bounded groups of (id, row, words, picks)."""
     shard, size = [], 0
     for batch in batches:
-        for id_, row, text, phrases in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for id_, row, text, picks in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             w = words_of(text)
-            shard.append((id_, row, w, np.array(phrases, dtype=np.int64).view(np.uint64)))
+            shard.append((id_, row, w, picks))
             size += len(w)
             if size >= SHARD_WORDS:
                 yield shard
@@ -115,59 +138,59 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int,
         yield shard
 
 
-def _starts(shard: list, width: int, phrase: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(id, row, word hashes, starts of candidate windows) of each document: the
-    shard's recurring phrases, compiled, locate all their occurrences."""
+def _located(shard: list, width: int, phrase: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(id, row, word hashes, starts of windows, their votes) of each document:
+    the shard's phrases, compiled, locate their occurrences; of the windows
+    around them, those that a listed pick owns are kept."""
     number: dict[bytes, int] = {}
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
     texts = []
-    for _, _, w, phrases in shard:
+    for _, _, w, picks in shard:
         h = word_hashes(w)
         ids = tuple([number.setdefault(x, len(number) + 1) for x in w])
         texts.append((h, ids))
-        grams = rolling(h, phrase, MIX)
-        for at in np.nonzero(np.isin(grams, phrases))[0].tolist():
+        wanted = np.array([p["phrase"] for p in picks], dtype=np.int64).view(np.uint64)
+        for at in np.nonzero(np.isin(rolling(h, phrase, MIX), wanted))[0].tolist():
             automaton.add_word(ids[at : at + phrase])
-    if len(automaton):
-        automaton.make_automaton()
-    for (id_, row, w, _), (h, ids) in zip(shard, texts, strict=True):
+    automaton.make_automaton()
+    for (id_, row, w, picks), (h, ids) in zip(shard, texts, strict=True):
         n = len(w) - width + 1
-        if n <= 0 or not len(automaton):
-            yield id_, row, h, np.empty(0, dtype=np.int64)
-            continue
-        marks = np.zeros(n + 1, dtype=np.int32)
         ends = np.fromiter((end for end, _ in automaton.iter(ids)), np.int64)
+        marks = np.zeros(n + 1, dtype=np.int32)
         np.add.at(marks, np.clip(ends - width + 1, 0, n), 1)  # windows that hold the phrase whole
         np.add.at(marks, np.clip(ends - phrase + 2, 0, n), -1)
-        yield id_, row, h, np.nonzero(np.cumsum(marks[:n]) > 0)[0]
+        votes = np.zeros(n, dtype=np.int32)
+        for p in picks:
+            votes[p["start"] : p["start"] + p["windows"]] = p["votes"]
+        starts = np.nonzero((np.cumsum(marks[:n]) > 0) & (votes > 0))[0]
+        yield id_, row, h, starts, votes[starts]
 
 
 def _windows(joined: DataFrame, width: int, phrase: int) -> DataFrame:
-    """(high, low, id, row, start) of each candidate window."""
+    """(high, low, id, row, start, votes) of each window to be counted."""
 
     def run(batches):
         for shard in _shards(batches):
-            for id_, row, h, starts in _starts(shard, width, phrase):
+            for id_, row, h, starts, votes in _located(shard, width, phrase):
                 for at in range(0, len(starts), 1 << 18):
                     part = starts[at : at + (1 << 18)]
                     high, low = (rolling(h[part[0] : part[-1] + width], width, m)[part - part[0]] for m in (MIX_HIGH, MIX_LOW))
-                    yield pa.record_batch([pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(np.full(len(part), id_)), pa.array(np.full(len(part), row)), pa.array(part.astype(np.int32))], names=["high", "low", "id", "row", "start"])
+                    yield pa.record_batch([pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(np.full(len(part), id_)), pa.array(np.full(len(part), row)), pa.array(part.astype(np.int32)), pa.array(votes[at : at + len(part)])], names=["high", "low", "id", "row", "start", "votes"])
 
-    return joined.mapInArrow(run, "high long, low long, id long, row long, start int")
+    return joined.mapInArrow(run, "high long, low long, id long, row long, start int, votes int")
 
 
 def _kept(joined: DataFrame, width: int) -> DataFrame:
     def make():
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
             totals, removed, kept = [], [], []
-            for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 w = words_of(text)
                 totals.append(len(w))
-                if starts:
+                if runs:
                     marks = np.zeros(len(w) + 1, dtype=np.int32)
-                    at = np.array(starts)
-                    np.add.at(marks, at, 1)
-                    np.add.at(marks, at + width, -1)
+                    np.add.at(marks, [x["start"] for x in runs], 1)
+                    np.add.at(marks, [x["start"] + x["windows"] + width - 1 for x in runs], -1)
                     w = [w[k] for k in np.nonzero(np.cumsum(marks[:-1]) == 0)[0].tolist()]
                 removed.append(totals[-1] - len(w))
                 kept.append(b" ".join(w).decode())
@@ -175,7 +198,7 @@ def _kept(joined: DataFrame, width: int) -> DataFrame:
 
         return turn
 
-    return joined.select("id", "text", "starts").mapInArrow(by_batch(make), "id long, n_words long, n_removed long, kept_text string")
+    return joined.select("id", "text", "runs").mapInArrow(by_batch(make), "id long, n_words long, n_removed long, kept_text string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, phrase: int = PHRASE) -> DataFrame:
@@ -190,11 +213,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("a phrase must fit into a window")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(known_id(id_col).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    picks = cut(_picks(base, width, phrase), "phrases")
-    recurring = picks.groupBy("phrase").agg(F.sum("n").alias("n")).where("n > 1").select("phrase")
-    held = picks.join(recurring, "phrase").groupBy("id", "row").agg(F.collect_set("phrase").alias("phrases"))
-    found = base.join(held, ["id", "row"]).select("id", "row", "text", "phrases")
-    windows = cut(_windows(found, width, phrase), "windows")
-    repeats = windows.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low")
-    starts = windows.join(repeats, ["high", "low"]).groupBy("id", "row").agg(F.collect_set("start").alias("starts"))
-    return _kept(base.join(starts, ["id", "row"], "left"), width).withColumn("id", given_id("id"))
+    picks = cut(_picks(base, width, phrase), "picks")
+    recurring = cut(picks.groupBy("phrase").agg(F.count("*").alias("n")).where("n > 1").select("phrase"), "phrases")
+    again = cut(picks.join(recurring, "phrase"), "recurring")
+    # a run that occurs again is settled; one of its picks votes for it, twice
+    first = F.min(F.struct("id", "row", "start", "windows")).alias("one")
+    runs = cut(again.groupBy("phrase", "run").agg(F.count("*").alias("n"), first), "runs")
+    open_ = runs.where("n = 1").select("phrase").distinct()
+    voters = runs.join(open_, "phrase", "left_semi").select("phrase", "one.*", F.when(F.col("n") > 1, 2).otherwise(1).alias("votes"))
+    voters = voters.groupBy("id", "row").agg(F.collect_list(F.struct("phrase", "start", "windows", "votes")).alias("picks"))
+    windows = cut(_windows(base.join(voters, ["id", "row"]).select("id", "row", "text", "picks"), width, phrase), "windows")
+    repeats = cut(windows.groupBy("high", "low").agg(F.sum("votes").alias("n")).where("n > 1").select("high", "low"), "repeats")
+    edges = windows.where("votes = 1").join(repeats, ["high", "low"]).select("id", "row", "start", F.lit(1).alias("windows"))
+    settled = again.join(runs.where("n > 1").select("phrase", "run"), ["phrase", "run"], "left_semi").select("id", "row", "start", "windows")
+    found = settled.unionByName(edges).groupBy("id", "row").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    return _kept(base.join(found, ["id", "row"], "left"), width).withColumn("id", given_id("id"))
