@@ -182,8 +182,7 @@ class Repair:
                 number = bool(NUMBER.match(token))
                 atomic = number or token.lower() in ("true", "false", "null") or not re.search(r"[\s(]", token)
                 if atomic:
-                    fraction = c == "/" and number and re.match(r"/\s*[\d.]", text[k : k + 12])
-                    if c == "/" and not fraction:
+                    if self.comment_at(k):
                         return j + 1, True
                     if c in "\"'{[#" or (gap and where == "item"):
                         return j + 1, True

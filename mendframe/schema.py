@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from enum import Enum
 from typing import Any
@@ -200,3 +201,101 @@ def _struct(value: Any, kind: Kind, path: str, by_name: bool) -> dict:
     if kind.extra:
         out |= {k: v for k, v in value.items() if k not in used}
     return out
+
+
+def error_paths(value: Any, kind: Kind, path: str = "") -> list[str]:
+    """Pointers to every place where ``value`` doesn't fit, in order."""
+    if kind.optional and value is None:
+        return []
+    if kind.name == "struct" and isinstance(value, dict):
+        out = []
+        for f in kind.fields:
+            key = next((k for k in (f.name, *f.aliases) if k in value), None)
+            if key is not None:
+                out += error_paths(value[key], f.kind, f"{path}/{f.name}")
+            elif f.default is MISSING:
+                out.append(f"{path}/{f.name}")
+        return out
+    if kind.name in ("list", "dict") and isinstance(value, list if kind.name == "list" else dict):
+        pairs = enumerate(value) if kind.name == "list" else value.items()
+        return [p for k, v in pairs for p in error_paths(v, kind.item, f"{path}/{k}")]
+    try:
+        validate(value, kind)
+    except Invalid:
+        return [path or ""]
+    return []
+
+
+def from_pydantic(annotation: Any) -> Kind:
+    """A schema from a model class or a type annotation, if pydantic is there."""
+    import types
+    import typing
+
+    import pydantic
+    from pydantic_core import PydanticUndefined
+
+    origin, args = typing.get_origin(annotation), typing.get_args(annotation)
+    if origin is typing.Annotated:
+        kind = from_pydantic(args[0])
+        return Kind(**{**kind.__dict__, "strict": True}) if any(getattr(m, "strict", False) for m in args[1:]) else kind
+    if origin in (typing.Union, types.UnionType):
+        some = [a for a in args if a is not type(None)]
+        return optional(from_pydantic(some[0])) if len(some) < len(args) and len(some) == 1 else ANY
+    if origin is typing.Literal:
+        return enum(*map(str, args))
+    if origin in (list, set, frozenset) or (origin is tuple and len(args) == 2 and args[1] is Ellipsis):
+        return list_of(from_pydantic(args[0]))
+    if origin is dict:
+        return dict_of(from_pydantic(args[1]))
+    simple = {int: INT, float: FLOAT, str: STR, bool: BOOL, list: list_of(ANY), dict: dict_of(ANY)}
+    if annotation in simple:
+        return simple[annotation]
+    if isinstance(annotation, type) and issubclass(annotation, Enum):
+        return enum(*(str(m.value) for m in annotation))
+    if isinstance(annotation, type) and issubclass(annotation, pydantic.BaseModel):
+        fields = []
+        for name, f in annotation.model_fields.items():
+            kind = from_pydantic(f.annotation)
+            if any(getattr(m, "strict", False) for m in f.metadata):
+                kind = Kind(**{**kind.__dict__, "strict": True})
+            default = MISSING if f.is_required() else (f.default_factory() if f.default_factory else None if f.default is PydanticUndefined else f.default)
+            aliases = tuple(dict.fromkeys(a for a in (f.alias, f.validation_alias) if isinstance(a, str)))
+            fields.append(Field(name, kind, default.value if isinstance(default, Enum) and default is not MISSING else default, aliases))
+        return struct(*fields, extra=annotation.model_config.get("extra") == "allow")
+    return ANY
+
+
+#: DDL names of scalar types.
+DDL = {"tinyint": INT, "smallint": INT, "int": INT, "integer": INT, "bigint": INT, "long": INT, "float": FLOAT, "double": FLOAT, "boolean": BOOL, "string": STR, "variant": ANY}
+
+
+def from_ddl(ddl: str) -> Kind:
+    """A schema from 'a INT, b ARRAY<STRUCT<c: STRING>>', without a session."""
+    depth, parts, start = 0, [], 0
+    for i, c in enumerate(ddl):
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            parts.append(ddl[start:i])
+            start = i + 1
+    fields = []
+    for part in [*parts, ddl[start:]]:
+        name, kind = re.match(r"\s*`?(\w+)`?\s*:?\s*(.*)", part, re.S).groups()
+        fields.append(Field(name, _ddl_type(kind)))
+    return struct(*fields)
+
+
+def _ddl_type(text: str) -> Kind:
+    text = text.strip()
+    head, _, inside = text.partition("<")
+    inside = inside.rstrip()[:-1]
+    head = head.strip().lower()
+    if head == "array":
+        return list_of(_ddl_type(inside))
+    if head == "map":
+        return dict_of(_ddl_type(inside.partition(",")[2]))
+    if head == "struct":
+        return from_ddl(inside)
+    name = text.lower().partition("(")[0].split()[0]
+    if name == "decimal":
+        return FLOAT
+    return DDL[name]
