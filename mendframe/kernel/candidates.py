@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -87,42 +88,60 @@ def closed(text: str) -> tuple[bool, Any]:
     return strict(text + '"' * inside + "".join(reversed(stack)))
 
 
-def candidates(text: str, options: ParseOptions = ParseOptions(), is_done: bool = True, depth: int = 0) -> list[Candidate]:
-    """Every reading of ``text``, in order.  Raises ValueError if there is none."""
+def few(text: str) -> bool:
+    """So few brackets and fences that the number of readings can't reach a cap."""
+    return text.count("{") + text.count("[") + 2 * text.count("```") + 2 * text.count("~~~") <= 12
+
+
+def readings(text: str, options: ParseOptions, is_done: bool = True, depth: int = 0) -> Iterator[Candidate]:
+    """Every reading of ``text``, made only when asked for."""
     if options.depth_limit <= 0:
         raise ValueError("depth_limit must be positive")
     if depth >= options.depth_limit:
         raise RecursionError("nested too deep")
     ok, value = strict(text)
     if ok:
-        scalar = isinstance(value, (int, float))
-        return [Candidate(value, INCOMPLETE if scalar else COMPLETE)]
-    out: list[Candidate] = []
-    if options.allow_markdown_json:
+        yield Candidate(value, INCOMPLETE if isinstance(value, (int, float)) else COMPLETE)
+        return
+    some = False
+    if options.allow_markdown_json and ("```" in text or "~~~" in text):
         inner = replace(options, allow_markdown_json=False, allow_find_all_json_objects=False, allow_as_string=True)
         found, tail = blocks(text)
-        fenced = [replace(c, fixes=("markdown", *c.fixes)) for b in found for c in candidates(b, inner, False, depth + 1)]
-        out += fenced
+        fenced = []
+        for b in found:
+            for c in readings(b, inner, False, depth + 1):
+                fenced.append(replace(c, fixes=("markdown", *c.fixes)))
+                yield fenced[-1]
+        some = bool(fenced)
         if len(fenced) > 1:
-            out.append(Candidate([c.value for c in fenced], INCOMPLETE, ("markdown_array",)))
+            yield Candidate([c.value for c in fenced], INCOMPLETE, ("markdown_array",))
         if fenced and tail.strip():
-            out.append(Candidate(tail, INCOMPLETE, ("markdown_tail",)))
+            yield Candidate(tail, INCOMPLETE, ("markdown_tail",))
     if options.allow_find_all_json_objects:
         whole = [v for ok, v in map(strict, regions(text)) if ok]
-        out += [Candidate(v, COMPLETE, ("grepped_json",)) for v in whole]
+        some = some or bool(whole)
+        yield from (Candidate(v, COMPLETE, ("grepped_json",)) for v in whole)
         if len(whole) > 1:
-            out.append(Candidate(whole, INCOMPLETE, ("grepped_array",)))
+            yield Candidate(whole, INCOMPLETE, ("grepped_array",))
     if options.allow_fixes:
         mended = [Candidate(v, s, ("fixed_json", *f, *(("closed_unclosed",) if s == INCOMPLETE else ()))) for v, s, f in repair(text)]
-        out += mended
+        some = some or bool(mended)
+        yield from mended
         if len(mended) > 1:
-            out.append(Candidate([c.value for c in mended], INCOMPLETE, ("fixed_array",)))
-    if not out:
+            yield Candidate([c.value for c in mended], INCOMPLETE, ("fixed_array",))
+    if not some:
         ok, value = closed(text)
         if ok:
-            out.append(Candidate(value, INCOMPLETE, ("closed_unclosed",)))
+            some = True
+            yield Candidate(value, INCOMPLETE, ("closed_unclosed",))
     if options.allow_as_string:
-        out.append(Candidate(text, COMPLETE if is_done else INCOMPLETE, ("as_string",) if out else ()))
+        yield Candidate(text, COMPLETE if is_done else INCOMPLETE, ("as_string",) if some else ())
+
+
+def candidates(text: str, options: ParseOptions = ParseOptions(), is_done: bool = True) -> list[Candidate]:
+    """The readings in order, at most ``max_candidates`` of them (complete ones,
+    objects, few fixes first).  Raises ValueError if there is none."""
+    out = list(readings(text, options, is_done))
     if not out:
         raise ValueError("no reading of the text")
     if len(out) > options.max_candidates:

@@ -19,6 +19,7 @@ from mendframe.kernel.coerce import CoerceOptions
 from mendframe.kernel.patch import Policy
 from mendframe.operators import native
 from mendframe.plans import extract as E
+from mendframe.plans.layout import spread
 from mendframe.schema import BOOL, FLOAT, INT, STR, STRICT_BOOL, STRICT_INT, Field, dict_of, enum, list_of, struct
 from mendframe.sources.providers import Calling
 
@@ -34,6 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name))
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -79,7 +84,7 @@ def _register(name: str) -> None:
     _, flags, score = CORRUPTIONS[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return repaired(table(spark, sf_dir, "orders"), name)
+        return repaired(wide(spark, sf_dir, "orders"), name)
 
     QUERIES[f"repair_orders_{name}"] = run
     ORACLES[f"repair_orders_{name}"] = f"SELECT o_orderkey, o_orderkey AS id, o_totalprice AS price, o_orderstatus AS status, '{flags}' AS flags, CAST({score} AS BIGINT) AS score FROM orders"
@@ -99,7 +104,7 @@ def repair_flag_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     variant, text = F.col("o_orderkey") % len(CORRUPTIONS), None
     for k, name in enumerate(CORRUPTIONS):
         text = F.when(variant == k, corrupted(name)) if text is None else text.when(variant == k, corrupted(name))
-    parsed = table(spark, sf_dir, "orders").select(variant.alias("variant"), "o_custkey", M.parse(text, ORDER).alias("r"))
+    parsed = wide(spark, sf_dir, "orders").select(variant.alias("variant"), "o_custkey", M.parse(text, ORDER).alias("r"))
     return parsed.groupBy("variant", flat("r.flags").alias("flags")).agg(F.count("*").alias("n"), F.sum("r.score").alias("score"), F.sum(F.when(F.col("r.error").isNull(), F.col("o_custkey"))).alias("customers"))
 
 
@@ -107,7 +112,7 @@ def repair_flag_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def key_normalize_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = struct(Field("p_name", STR), Field("p_brand", STR), Field("p_size", INT))
     text = F.format_string('{"P Name": %s, "p-brand": %s, "PSize": %s, "other": 1}', F.concat(F.lit('"'), "p_name", F.lit('"')), F.concat(F.lit('"'), "p_brand", F.lit('"')), F.col("p_size").cast("string"))
-    return table(spark, sf_dir, "part").select("p_partkey", M.parse(text, kind).alias("r")).select("p_partkey", F.col("r.value.p_name").alias("name"), F.col("r.value.p_brand").alias("brand"), F.col("r.value.p_size").alias("size"), flat("r.flags").alias("flags"), F.col("r.score").cast("long").alias("score"))
+    return wide(spark, sf_dir, "part").select("p_partkey", M.parse(text, kind).alias("r")).select("p_partkey", F.col("r.value.p_name").alias("name"), F.col("r.value.p_brand").alias("brand"), F.col("r.value.p_size").alias("size"), flat("r.flags").alias("flags"), F.col("r.score").cast("long").alias("score"))
 
 
 _ENUM = "SELECT o_orderkey, o_orderpriority AS priority, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'case_insensitive' ELSE 'strip_punct' END AS flags FROM orders"
@@ -120,7 +125,7 @@ def _said(df: DataFrame) -> DataFrame:
 
 @query(_ENUM)
 def enum_match_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _said(table(spark, sf_dir, "orders")).select("o_orderkey", M.match_enum("said", PRIORITIES).alias("m")).select("o_orderkey", F.col("m.value").alias("priority"), flat("m.flags").alias("flags"))
+    return _said(wide(spark, sf_dir, "orders")).select("o_orderkey", M.match_enum("said", PRIORITIES).alias("m")).select("o_orderkey", F.col("m.value").alias("priority"), flat("m.flags").alias("flags"))
 
 
 @query(_ENUM)
@@ -137,7 +142,7 @@ def _numbers(df: DataFrame) -> DataFrame:
 
 @query(_NUMBERS)
 def number_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _numbers(table(spark, sf_dir, "lineitem"))
+    n = _numbers(wide(spark, sf_dir, "lineitem"))
     return n.select("l_orderkey", "l_linenumber", M.parse_number("q").cast("long").alias("quantity"), M.parse_number("p").alias("price"), M.parse_number("d").alias("discount"), M.parse_number("f").alias("quarter"))
 
 
@@ -150,30 +155,30 @@ def number_coerce_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, toxic = 1 AS kernel, toxic = 1 AS plain, 'string_to_bool' AS flags FROM labels")
 def bool_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.when(F.col("toxic") == 1, F.when(F.col("doc_id") % 2 == 0, " Yes").otherwise("TRUE ")).otherwise(F.when(F.col("doc_id") % 2 == 0, "n").otherwise("no"))
-    df = table(spark, sf_dir, "labels").select("doc_id", word.alias("w"))
+    df = wide(spark, sf_dir, "labels").select("doc_id", word.alias("w"))
     return df.select("doc_id", M.coerce(F.concat(F.lit('"'), "w", F.lit('"')), STRICT_BOOL).alias("r"), native.boolean(F.col("w")).alias("plain")).select("doc_id", F.col("r.value").alias("kernel"), "plain", flat("r.flags").alias("flags"))
 
 
 @query("SELECT s_suppkey, s_acctbal AS first, CAST(1 AS BIGINT) AS n, 'single_to_array' AS flags FROM supplier")
 def single_to_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = M.parse(F.format_string('{"v": %s}', F.col("s_acctbal").cast("string")), list_of(struct(Field("v", FLOAT))))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", r.alias("r")).select("s_suppkey", F.get("r.value", F.lit(0))["v"].alias("first"), F.size("r.value").cast("long").alias("n"), flat("r.flags").alias("flags"))
+    return wide(spark, sf_dir, "supplier").select("s_suppkey", r.alias("r")).select("s_suppkey", F.get("r.value", F.lit(0))["v"].alias("first"), F.size("r.value").cast("long").alias("n"), flat("r.flags").alias("flags"))
 
 
 @query("SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS n, 'implied_key' AS flags FROM customer")
 def implied_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = M.parse(F.col("c_nationkey").cast("string"), struct(Field("n", INT)))
-    return table(spark, sf_dir, "customer").select("c_custkey", r.alias("r")).select("c_custkey", F.col("r.value.n").alias("n"), flat("r.flags").alias("flags"))
+    return wide(spark, sf_dir, "customer").select("c_custkey", r.alias("r")).select("c_custkey", F.col("r.value.n").alias("n"), flat("r.flags").alias("flags"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '' AS flags FROM events")
 def strict_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", M.parse("props", struct(Field("k", INT))).alias("r")).select("event_id", F.col("r.value.k").alias("k"), flat("r.flags").alias("flags"))
+    return wide(spark, sf_dir, "events").select("event_id", M.parse("props", struct(Field("k", INT))).alias("r")).select("event_id", F.col("r.value.k").alias("k"), flat("r.flags").alias("flags"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def dict_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", M.parse("props", dict_of(INT)).alias("r")).select("event_id", F.col("r.value")["k"].alias("k"))
+    return wide(spark, sf_dir, "events").select("event_id", M.parse("props", dict_of(INT)).alias("r")).select("event_id", F.col("r.value")["k"].alias("k"))
 
 
 @query("SELECT l_orderkey, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts, CASE WHEN count(*) > 1 THEN 'grepped_array' ELSE 'grepped_json,single_to_array' END AS flags FROM lineitem GROUP BY l_orderkey")
@@ -185,13 +190,13 @@ def grep_multi_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, CAST(1 AS BIGINT) AS objects, CAST(1 AS BIGINT) AS blocks FROM orders")
 def json_objects_and_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.size(M.json_objects(corrupted("prose"))).cast("long").alias("objects"), F.size(M.markdown_blocks(corrupted("fenced"))).cast("long").alias("blocks"))
+    return wide(spark, sf_dir, "orders").select("o_orderkey", F.size(M.json_objects(corrupted("prose"))).cast("long").alias("objects"), F.size(M.markdown_blocks(corrupted("fenced"))).cast("long").alias("blocks"))
 
 
 @query("SELECT o_orderkey, o_totalprice AS price, CAST(0 AS BIGINT) AS score, true AS same FROM orders")
 def best_candidate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best row of the candidate table is the kernel's choice."""
-    df = table(spark, sf_dir, "orders").select("o_orderkey", corrupted("fenced").alias("t"))
+    df = wide(spark, sf_dir, "orders").select("o_orderkey", corrupted("fenced").alias("t"))
     rows = df.select("o_orderkey", F.inline(M.parse_candidates("t", ORDER))).where("error is null")
     best = native.best_candidate(rows, "o_orderkey", "result_json")
     kernel = df.select("o_orderkey", M.parse("t", ORDER).alias("r"))
@@ -202,7 +207,7 @@ def best_candidate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, CAST(count(*) AS BIGINT) AS n FROM orders, (VALUES (1), (2), (3)) t GROUP BY o_orderkey")
 def candidate_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prose with one object reads as the object, its repair, and itself."""
-    df = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(M.parse_candidates(corrupted("prose"), ORDER)).alias("c"))
+    df = wide(spark, sf_dir, "orders").select("o_orderkey", F.explode(M.parse_candidates(corrupted("prose"), ORDER)).alias("c"))
     return df.groupBy("o_orderkey").agg(F.count("*").alias("n"))
 
 
@@ -212,21 +217,21 @@ def options_and_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.format_string('{"status": "status %s."}', "o_orderstatus")
     kind = struct(Field("status", enum("F", "O", "P")), Field("n", INT, 0))
     loose = M.parse(F.format_string('{"status": "%s!"}', "o_orderstatus"), kind, coerce=CoerceOptions(allow_substring_enum_match=True))
-    df = table(spark, sf_dir, "orders").select("o_orderkey", loose.alias("r"), M.parse(text, kind, options=ParseOptions(allow_as_string=False)).alias("e"))
+    df = wide(spark, sf_dir, "orders").select("o_orderkey", loose.alias("r"), M.parse(text, kind, options=ParseOptions(allow_as_string=False)).alias("e"))
     return df.select("o_orderkey", F.col("r.value.status").alias("status"), F.col("e.error").isNotNull().alias("failed"))
 
 
 @query("SELECT o_orderkey, o_totalprice AS price FROM orders")
 def partial_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.format_string('{"id": %s, "price": %s, "sta', *(F.col(c).cast("string") for c in PARTS[:2]))
-    return table(spark, sf_dir, "orders").select("o_orderkey", M.parse(text, ORDER, is_done=False, partial=True).alias("r")).select("o_orderkey", F.col("r.value.price").alias("price"))
+    return wide(spark, sf_dir, "orders").select("o_orderkey", M.parse(text, ORDER, is_done=False, partial=True).alias("r")).select("o_orderkey", F.col("r.value.price").alias("price"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey AS a, l_suppkey AS b FROM lineitem")
 def deep_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.format_string('["%s ", " %s,"]', F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
     r = M.parse(text, list_of(STRICT_INT), coerce=CoerceOptions(deep_coercion=True))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r.alias("r")).select("l_orderkey", "l_linenumber", F.get("r.value", F.lit(0)).alias("a"), F.get("r.value", F.lit(1)).alias("b"))
+    return wide(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r.alias("r")).select("l_orderkey", "l_linenumber", F.get("r.value", F.lit(0)).alias("a"), F.get("r.value", F.lit(1)).alias("b"))
 
 
 # --- patches (E, F)
@@ -237,7 +242,7 @@ def doc_text() -> Column:
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Z' ELSE o_orderstatus END AS status, 'a,b' AS tags, 'n+' || o_orderkey AS note, CAST(NULL AS VARCHAR) AS error FROM orders""")
 def patch_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = wide(spark, sf_dir, "orders")
     docs = orders.select("o_orderkey", doc_text().alias("doc_json"))
     steps = F.array(
         F.struct(F.lit(2).alias("op_index"), F.lit("replace").alias("op"), F.lit("/note/-").alias("path"), F.concat(F.lit('"+'), F.col("o_orderkey").cast("string"), F.lit('"')).alias("value_json")),
@@ -262,14 +267,14 @@ def patch_policy_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, CAST(2 AS BIGINT) AS n, '/status' AS path FROM orders")
 def patch_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.format_string('Sure:\n```json\n{"patches": [{"op": "replace", "path": "/status", "value": "%s"}, {"op": "add", "path": "/n", "value": 1},]}\n```', "o_orderstatus")
-    df = table(spark, sf_dir, "orders").select("o_orderkey", M.normalize_patches(text).alias("p"))
+    df = wide(spark, sf_dir, "orders").select("o_orderkey", M.normalize_patches(text).alias("p"))
     return df.select("o_orderkey", F.size("p.ops").cast("long").alias("n"), F.get("p.ops", F.lit(0))["path"].alias("path"))
 
 
 @query("""SELECT o_orderkey, '{"status": "' || o_orderstatus || '", "deep": {"x": 1}, "none": null}' AS part FROM orders""")
 def slice_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = F.array(F.lit("/status"), F.lit("/deep/x"), F.lit("/none"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", M.slice_doc(doc_text(), paths).alias("part"))
+    return wide(spark, sf_dir, "orders").select("o_orderkey", M.slice_doc(doc_text(), paths).alias("part"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS attempts, 'Q' AS status, CAST(NULL AS VARCHAR) AS error FROM orders")
@@ -280,7 +285,7 @@ def update_retry_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
         return '[{"op": "remove", "path": "/status"}]' if even and "failed" not in asked else good
 
     doc = F.format_string('{"status": "%s", "even": %s}', F.col("o_orderstatus"), (F.col("o_orderkey") % 2 == 0).cast("string"))
-    out = E.update(table(spark, sf_dir, "orders").select("o_orderkey", doc.alias("doc_json")), "Set the status to Q.", Calling(answer), struct(Field("status", STR), Field("even", BOOL)), id_col="o_orderkey")
+    out = E.update(wide(spark, sf_dir, "orders").select("o_orderkey", doc.alias("doc_json")), "Set the status to Q.", Calling(answer), struct(Field("status", STR), Field("even", BOOL)), id_col="o_orderkey")
     return out.select("o_orderkey", "attempts", F.get_json_object("value_json", "$.status").alias("status"), "error")
 
 
@@ -291,7 +296,7 @@ _TOKENS = r"regexp_extract_all(text, '([\p{L}\p{N}_'']+|[^\p{L}\p{N}_\s]+)')"
 
 @query(f"SELECT doc_id, CAST(len({_TOKENS}) AS BIGINT) AS n FROM documents")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(M.tokens("text")).cast("long").alias("n"))
+    return wide(spark, sf_dir, "documents").select("doc_id", F.size(M.tokens("text")).cast("long").alias("n"))
 
 
 @query(f"SELECT lang, count(*) AS docs, CAST(sum(len({_TOKENS})) AS BIGINT) AS n, CAST(max(len({_TOKENS})) AS BIGINT) AS most FROM documents GROUP BY lang")
@@ -304,13 +309,13 @@ def token_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unicode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grapheme tokens cover all that isn't white space."""
     total = F.aggregate(M.tokens("html", unicode=True), F.lit(0).cast("long"), lambda a, t: a + F.length(F.regexp_replace(t["text"], r"\s", "")))
-    return table(spark, sf_dir, "pages").select("page_id", total.alias("chars"))
+    return wide(spark, sf_dir, "pages").select("page_id", total.alias("chars"))
 
 
 @query(r"SELECT doc_id, CAST(length(regexp_replace(text, '[\s]', '', 'g')) AS BIGINT) AS solid FROM documents")
 def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks hold every visible character once (chunks are exploded rows)."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.inline(M.chunks("text", 400)))
+    rows = wide(spark, sf_dir, "documents").select("doc_id", F.inline(M.chunks("text", 400)))
     return rows.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("solid"))
 
 
@@ -329,7 +334,7 @@ def align_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, 'exact' AS verbatim, CAST(strpos(text, split_part(text, ' ', 2)) - 1 AS BIGINT) AS start FROM documents WHERE length(split_part(text, ' ', 2)) > 3 AND regexp_full_match(split_part(text, ' ', 2), '[a-z]+')")
 def align_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents").withColumn("w", F.split_part("text", F.lit(" "), F.lit(2))).where("length(w) > 3 and w rlike '^[a-z]+$'")
+    df = wide(spark, sf_dir, "documents").withColumn("w", F.split_part("text", F.lit(" "), F.lit(2))).where("length(w) > 3 and w rlike '^[a-z]+$'")
     df = df.select("doc_id", M.align("text", "w").alias("a"))
     return df.select("doc_id", F.col("a.status").alias("verbatim"), F.col("a.start").cast("long").alias("start"))
 
@@ -337,7 +342,7 @@ def align_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, '/id,/price,/tags/0,/tags/1' AS paths, CAST(o_orderkey AS VARCHAR) AS first FROM orders")
 def leaf_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.format_string('{"id": %s, "price": %s, "none": null, "tags": ["a", "b"]}', *(F.col(c).cast("string") for c in PARTS[:2]))
-    df = table(spark, sf_dir, "orders").select("o_orderkey", M.leaves(text).alias("l"))
+    df = wide(spark, sf_dir, "orders").select("o_orderkey", M.leaves(text).alias("l"))
     return df.select("o_orderkey", F.array_join(F.transform("l", lambda x: x["path"]), ",").alias("paths"), F.get("l", F.lit(0))["text"].alias("first"))
 
 
@@ -403,7 +408,7 @@ def extract_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         words = line.split()
         return f'{{Id: {words[2]}, status: "{words[5].lower()}"}}' if "status" in words else "{}"
 
-    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.format_string("Order no %s has status %s now.", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("text"))
+    docs = wide(spark, sf_dir, "orders").select("o_orderkey", F.format_string("Order no %s has status %s now.", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("text"))
     out = E.extract(docs, Calling(answer), struct(Field("id", INT), Field("status", enum("F", "O", "P"))), E.ExtractOptions(max_char_buffer=200, passes=2), "o_orderkey")
     get = lambda p: F.get_json_object("value_json", p)
     return out.select("o_orderkey", get("$.id").cast("long").alias("id"), get("$.status").alias("status"), F.array_join(F.transform("evidence", lambda e: e["status"]), ",").alias("grounded"), F.get("evidence", F.lit(0))["start"].cast("long").alias("start"))
@@ -427,7 +432,7 @@ def stream_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixed model output repaired and aggregated."""
     text = F.when(F.col("o_orderkey") % 2 == 0, corrupted("fenced")).otherwise(corrupted("unquoted"))
-    r = table(spark, sf_dir, "orders").select(M.parse(text, ORDER).alias("r")).select("r.value.*")
+    r = wide(spark, sf_dir, "orders").select(M.parse(text, ORDER).alias("r")).select("r.value.*")
     return r.groupBy(F.col("status").alias("region")).agg(F.count("*").alias("n"), F.sum(F.round("price", 0)).alias("total"))
 
 
