@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mendframe.llm.common import by_batch
+from mendframe.llm.common import by_batch, cut
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Groups of interchangeable identity terms; each is swapped for the next.
@@ -111,23 +111,11 @@ def _sparse(rows: list[np.ndarray], place: dict[int, int]) -> tuple[np.ndarray,
     return (np.concatenate(r), np.concatenate(c)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def train(x: list[np.ndarray], y: np.ndarray, swaps: list[tuple[int, np.ndarray]], fairness: float = FAIRNESS, ridge: float = RIDGE, max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS) -> Model:
-    """Fit on feature numbers ``x``, labels ``y`` and the (row, feature numbers)
-    of texts with their identity terms swapped."""
-    if not len(y) or y.min() == y.max():
-        return Model(0.0 if not len(y) else (4.0 if y[0] else -4.0), {})
-    every = np.concatenate([*x, np.empty(0, np.int64)])
-    label = np.repeat(y, [len(v) for v in x])
-    ids, at = np.unique(every, return_inverse=True)
-    n1, n0 = np.bincount(at, label, len(ids)), np.bincount(at, 1 - label, len(ids))
-    p1, p0, share = y.sum(), len(y) - y.sum(), y.mean()
-    held = n1 + n0
-    gap = (n1 / p1 - n0 / p0) ** 2
-    chi = gap * len(y) * share * (1 - share) / np.maximum(held / len(y) * (1 - held / len(y)), 1e-9)
-    chi[held < min(min_docs, max(1, p1))] = 0
-    order = np.lexsort((ids, -chi))[:max_features]
-    chosen = np.sort(order[chi[order] > 6.6])
-    place = {int(n): k for k, n in enumerate(ids[chosen])}
+def train(x: list[np.ndarray], y: np.ndarray, swaps: list[tuple[int, np.ndarray]], chosen: list[int], fairness: float = FAIRNESS, ridge: float = RIDGE) -> Model:
+    """Fit on the ``chosen`` of the feature numbers ``x``, labels ``y`` of both
+    kinds and the (row, feature numbers) of texts with identity terms swapped."""
+    share = y.mean()
+    place = {n: k for k, n in enumerate(sorted(chosen))}
     rows, columns = _sparse(x, place)
     pair_of = np.array([k for k, _ in swaps], dtype=np.int64)
     s_rows, s_columns = _sparse([v for _, v in swaps], place)
@@ -178,12 +166,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return turn
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id")).where("text is not null")
-    rows = texts.join(F.broadcast(sample), "id").select("text", "id", "y").mapInArrow(by_batch(make), "id long, y int, own array<int>, other array<int>").toArrow()
-    order = np.argsort(rows["id"].to_numpy(), kind="stable")
-    own, other, y = rows["own"].to_pylist(), rows["other"].to_pylist(), rows["y"].to_numpy()
+    rows = cut(texts.join(F.broadcast(sample), "id").select("text", "id", "y").mapInArrow(by_batch(make), "id long, y int, own array<int>, other array<int>"), "sample")
+    total = rows.agg(F.sum("y").alias("bad"), F.count("*").alias("n")).first()
+    n, bad = total["n"], total["bad"] or 0
+    if not n or bad in (0, n):
+        return Model(0.0 if not n else (4.0 if bad else -4.0), {})
+    chosen = choose(rows, n, bad)
+
+    def narrow(batches):
+        wanted = set(chosen)
+        for batch in batches:
+            out = []
+            for k in (2, 3):
+                out.append(pa.array([None if x is None else sorted(wanted.intersection(x)) for x in batch.column(k).to_pylist()], pa.list_(pa.int32())))
+            yield pa.record_batch([batch.column(0), batch.column(1), *out], names=["id", "y", "own", "other"])
+
+    few = rows.mapInArrow(narrow, rows.schema).toArrow()
+    order = np.lexsort((few["y"].to_numpy(), few["id"].to_numpy()))
+    own, other, y = few["own"].to_pylist(), few["other"].to_pylist(), few["y"].to_numpy()
     x = [np.array(own[k], dtype=np.int64) for k in order]
     swaps = [(k, np.array(other[j], dtype=np.int64)) for k, j in enumerate(order) if other[j] is not None]
-    return train(x, y[order].astype(float), swaps, fairness)
+    return train(x, y[order].astype(float), swaps, chosen, fairness)
+
+
+def choose(rows: DataFrame, n: int, bad: int, max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS) -> list[int]:
+    """The features that the labels depend on most (chi-square), of those in at
+    least ``min_docs`` rows: counted on the executors, ``max_features`` come back."""
+    held = rows.select("y", F.explode("own").alias("f")).groupBy("f").agg(F.sum("y").alias("n1"), F.count("*").alias("n"))
+    gap, share = F.col("n1") / bad - (F.col("n") - F.col("n1")) / (n - bad), bad / n
+    chi = gap * gap * (n * share * (1 - share)) / F.greatest(F.col("n") / n * (1 - F.col("n") / n), F.lit(1e-9))
+    best = held.where(F.col("n") >= min(min_docs, bad)).select("f", chi.alias("chi")).where("chi > 6.6").orderBy(F.desc("chi"), "f").limit(max_features)
+    return sorted(r["f"] for r in best.collect())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
