@@ -219,7 +219,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # a run that occurs again is settled; one of its picks votes for it, twice
     first = F.min(F.struct("id", "row", "start", "windows")).alias("one")
     runs = cut(again.groupBy("phrase", "run").agg(F.count("*").alias("n"), first), "runs")
-    open_ = runs.where("n = 1").select("phrase").distinct()
+    open_ = cut(runs.where("n = 1").select("phrase").distinct(), "open")
     voters = runs.join(open_, "phrase", "left_semi").select("phrase", "one.*", F.when(F.col("n") > 1, 2).otherwise(1).alias("votes"))
     voters = voters.groupBy("id", "row").agg(F.collect_list(F.struct("phrase", "start", "windows", "votes")).alias("picks"))
     windows = cut(_windows(base.join(voters, ["id", "row"]).select("id", "row", "text", "picks"), width, phrase), "windows")
