@@ -174,7 +174,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         c = codec(name, True)
 
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            every = [c.encode(x) for x in batch.column(1).to_pylist()]
+            every = [c.encode(x.as_py()) for x in batch.column(1)]
             ends = np.cumsum([0, *map(len, every)], dtype=np.int32)
             flat = array("i")
             for ids in every:

@@ -50,7 +50,7 @@ LEAST_PREFIX, LONGEST_PREFIX = 3, 7
 MAX_ROWS, MAX_FEATURES, MIN_DOCS = 8000, 4096, 3
 #: Weight of the squared norm, and of the squared score changes under swaps.
 RIDGE, FAIRNESS, STEPS = 0.02, 1.0, 300
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def words(text: str | None) -> set[str]:
@@ -217,11 +217,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more."""
 
-    @F.pandas_udf("boolean")
-    def toxic(texts):
-        of = model.scorer() if "of" not in kept else kept["of"]
-        kept["of"] = of
-        return texts.map(lambda x: of(x) >= threshold)
+    scorers: list = []  # one in each process that runs this
 
-    kept: dict = {}
-    return docs.where(~toxic(F.col(text_col).cast("string")))
+    def toxic(texts: pa.Array) -> pa.Array:
+        if not scorers:
+            scorers.append(model.scorer())
+        # a few texts at a time are Python strings
+        parts = (texts.slice(k, 500).to_pylist() for k in range(0, len(texts), 500))
+        return pa.array([scorers[0](x) >= threshold for part in parts for x in part], pa.bool_())
+
+    return docs.where(~F.arrow_udf(toxic, "boolean")(F.col(text_col).cast("string")))
