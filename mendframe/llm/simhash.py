@@ -141,7 +141,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     run = by_batch(make)
     # a row becomes 128: dealt out first, however few bytes the fingerprints are
-    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # (by a hash, since a deal by the column itself is taken to be there already)
+    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     keys = dealt.mapInArrow(lambda b: run(small(b)), "key long, fp long, side byte")
     a, b = keys.alias("a"), keys.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
