@@ -168,6 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"))
     moved = linked.join(lowest, "root").select("fp", "lowest")
     classes = first.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component"))
+    classes = cut(classes, "classes")  # a plain side, so that a text with very many copies can be split over tasks
     return marked.join(classes, "fp").select(given_id("id").alias("id"), "fp", given_id("component").alias("component"))
 
 
