@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendframe.llm import bpe, decontaminate, linededup, simhash, toxicity
+from mendframe.llm import bpe, decontaminate, linededup, nearcopies, toxicity
 from mendframe.llm.common import cut
 
 
@@ -25,8 +25,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each near-duplicate class."""
-    return simhash.keep_one(docs)
+    """One document, that of the least id, of each class of near copies: five-word
+    shingles, similarity 0.8 or more."""
+    return nearcopies.keep_one(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,25 +39,32 @@ PARTS = (((0, 8), (8, 7), (15, 7)), ((0, 7), (7, 7), (14, 7)), ((0, 7), (7, 7),
 BOTH, LEFT, RIGHT = 0, 1, 2
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """The unsigned SimHash of one text; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int = 4) -> np.ndarray:
+    """Unsigned XXH64 of each shingle of a text, repeats included; fewer words
+    are one shingle, and no words none."""
     words = (text or "").encode().lower().split()  # bytes: ASCII case and white space only
     n, digest = len(words), xxhash.xxh64_intdigest
-    if not n:
-        return 0
     joined = b" ".join(words)
     if n <= shingle:
-        hashes = np.array([digest(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = [0, *(ends[:-shingle] + 1).tolist()]
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
+        return np.array([digest(joined, SEED)] if n else [], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = [0, *(ends[:-shingle] + 1).tolist()]
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Each bit that over half the hashes have; 0 without hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """The unsigned SimHash of one text; 0 without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(id, fp): one row a document; ``fp`` is the fingerprint as a signed long."""
 
