@@ -33,6 +33,8 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 SPAN = "array<struct<start:int,end:int,hit:string>>"
 PLACED = "array<struct<start:int,end:int,hit:string,gap:string,after:string>>"
 MARK = "\uffff"
+#: Matches that are placed at a time.
+BLOCK = 512
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -53,16 +55,31 @@ def parted(text: Column, pattern: str) -> Column:
 def located(text: Column, pattern: str) -> Column:
     """Array of (start, end, hit, gap, after) of all matches, in code points, end
     exclusive; ``gap`` and ``after`` stand before and behind."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(PLACED).alias("spans"))
+    def extent(x):
+        return F.length(x["gap"]) + F.length(x["hit"])
 
     def step(a, x):
         start = a["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
+        end = a["at"] + extent(x)
         return F.struct(end.alias("at"), F.concat(a["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["gap"].alias("gap"), x["after"].alias("after")))).alias("spans"))
 
+    def run(at, pairs):
+        return F.aggregate(pairs, F.struct(at.alias("at"), F.array().cast(PLACED).alias("spans")), step, lambda a: a["spans"])
+
+    def in_blocks(pairs):
+        # an array that grows by one costs its length: in blocks, growing stays cheap in texts of very many matches
+        blocks = F.transform(F.sequence(F.lit(1), F.size(pairs), F.lit(BLOCK)), lambda k: F.slice(pairs, k, BLOCK))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+
+        def after(a, block):
+            return F.struct((a["at"] + F.aggregate(block, F.lit(0), lambda n, x: n + extent(x))).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all"))
+
+        return let(blocks, lambda every: F.flatten(F.zip_with(F.aggregate(every, none, after, lambda a: a["all"]), every, run)))
+
     def place(parts):
         pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), lambda k: F.struct(F.get(parts, k - 1).alias("gap"), F.get(parts, k).alias("hit"), F.get(parts, k + 1).alias("after")))
-        return F.when(F.size(parts) > 1, F.aggregate(pairs, empty, step, lambda a: a["spans"])).otherwise(F.array().cast(PLACED))
+        placed = let(pairs, lambda every: F.when(F.size(every) > BLOCK, in_blocks(every)).otherwise(run(F.lit(0), every)))
+        return F.when(F.size(parts) > 1, placed).otherwise(F.array().cast(PLACED))
 
     return let(parted(text, pattern), place)
 
