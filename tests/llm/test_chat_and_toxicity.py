@@ -45,8 +45,9 @@ def test_escape_round_trip():
 
 def test_format_and_read_back(spark):
     rows = TURNS + [(5, k, "assistant" if k % 2 else "user", f"turn {k} " * 3) for k in range(200)]
-    got = chat.read_back(chat.format_conversations(turns(spark, rows))).collect()
-    assert sorted((tuple(r) for r in got), key=str) == wanted(rows)
+    for lookback in (None, 1):
+        got = chat.read_back(chat.format_conversations(turns(spark, rows), lookback=lookback)).collect()
+        assert sorted((tuple(r) for r in got), key=str) == wanted(rows)
     assert chat.format_conversations(turns(spark, [])).count() == 0
 
 
@@ -79,6 +80,14 @@ def test_templates_that_look_far_back_are_rendered_whole():
     assert "".join(x[1] for x in chat.spans(iter(own), chat.marked, full=8, lookback=2)) == chat.marked(own)
 
 
+def test_history_rewritten_late_is_detected():
+    def windowed(ts):  # the first turns fall out of the window
+        return "".join(f"<{r}>{t}" for r, t in ts[-100:])
+
+    own = [("u", f"t{k}") for k in range(120)]
+    assert [x[4] for x in chat.spans(iter(own), windowed)] == [False] * 100 + [True] * 20
+
+
 # --- 9 Toxicity
 
 
