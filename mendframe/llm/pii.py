@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, then bootstrapped contextual extraction.
 
 Everything is built from DataFrame expressions.  One scan of the texts finds
-the base spans (email, ip, card, phone) and all identifier-like tokens with the
-words around them; it is written without the texts.  On that small table the
-base spans are seeds: the contexts they stand in become lexical patterns, a
+the base spans (email, ip, card, phone) and all runs of identifier-like tokens,
+each with the words around it; it is written without the texts.  On that small
+table the base spans are seeds, what they leave of the runs are the candidates:
+the contexts that seeds stand in become lexical patterns, a
 pattern-instance graph is scored in rounds (a pattern by the mean score of the
 instances it extracts, an instance by the noisy-or of its patterns), and
 patterns that stay reliable discover the identifiers the base has not seen.
@@ -30,8 +31,14 @@ SPACES = r"[\x00-\x20\x7F]+"
 #: Code points on either side in which the words around a token are looked for.
 CONTEXT = 120
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: Longest candidate, in code points; a longer run of tokens is taken in pieces.
+LONGEST = 64
+TOKEN = r"[^\x00-\x20\x7F0-9@]*+[0-9@][^\x00-\x20\x7F]*+"
+#: Tokens with a digit or @, one space apart; as many as LONGEST can hold.
+RUN = rf"(?<![^\x00-\x20\x7F]){TOKEN}(?:\x20{TOKEN}){{0,{LONGEST // 2 - 1}}}+"
 SPAN = "array<struct<start:int,end:int,hit:string>>"
-PLACED = "array<struct<start:int,end:int,hit:string,gap:string,after:string>>"
+SEEN = "array<struct<start:int,end:int,hit:string,ahead:array<string>,behind:string>>"
+PLACED = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
 MARK = "\uffff"
 #: Matches that are placed at a time.
 BLOCK = 512
@@ -53,15 +60,16 @@ def parted(text: Column, pattern: str) -> Column:
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Array of (start, end, hit, gap, after) of all matches, in code points, end
-    exclusive; ``gap`` and ``after`` stand before and behind."""
+    """Array of (start, end, hit, before, after) of all matches, in code points, end
+    exclusive; ``before`` and ``after`` are up to CONTEXT code points of what
+    stands on either side, the neighbouring match included."""
     def extent(x):
         return F.length(x["gap"]) + F.length(x["hit"])
 
     def step(a, x):
         start = a["at"] + F.length(x["gap"])
         end = a["at"] + extent(x)
-        return F.struct(end.alias("at"), F.concat(a["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["gap"].alias("gap"), x["after"].alias("after")))).alias("spans"))
+        return F.struct(end.alias("at"), F.concat(a["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["before"].alias("before"), x["after"].alias("after")))).alias("spans"))
 
     def run(at, pairs):
         return F.aggregate(pairs, F.struct(at.alias("at"), F.array().cast(PLACED).alias("spans")), step, lambda a: a["spans"])
@@ -77,7 +85,15 @@ def located(text: Column, pattern: str) -> Column:
         return let(blocks, lambda every: F.flatten(F.zip_with(F.aggregate(every, none, after, lambda a: a["all"]), every, run)))
 
     def place(parts):
-        pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), lambda k: F.struct(F.get(parts, k - 1).alias("gap"), F.get(parts, k).alias("hit"), F.get(parts, k + 1).alias("after")))
+        def part(k):
+            return F.coalesce(F.get(parts, k), F.lit(""))
+
+        def pair(k):
+            before = F.substring(F.concat(*(F.substring(part(k - n), -CONTEXT, CONTEXT) for n in (3, 2, 1))), -CONTEXT, CONTEXT)
+            after = F.substring(F.concat(*(F.substring(part(k + n), 1, CONTEXT) for n in (1, 2, 3))), 1, CONTEXT)
+            return F.struct(part(k - 1).alias("gap"), part(k).alias("hit"), before.alias("before"), after.alias("after"))
+
+        pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), pair)
         placed = let(pairs, lambda every: F.when(F.size(every) > BLOCK, in_blocks(every)).otherwise(run(F.lit(0), every)))
         return F.when(F.size(parts) > 1, placed).otherwise(F.array().cast(PLACED))
 
@@ -99,15 +115,16 @@ def luhn(card: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """struct of the four kinds' span arrays; a cheap test guards each scan."""
-    none, numeric = F.array().cast(SPAN), text.rlike("[0-9]")
+    """struct of the four kinds' arrays of spans with the words around them; a
+    cheap test guards each scan."""
+    none, numeric = F.array().cast(SEEN), text.rlike("[0-9]")
 
     def count(x, low, high):
         return F.length(digits(x["hit"])).between(low, high)
 
     def found(when, pattern, test=None):
         spans = located(text, pattern)
-        return F.when(when, plain(F.filter(spans, test) if test else spans)).otherwise(none)
+        return F.when(when, F.transform(F.filter(spans, test) if test else spans, _seen)).otherwise(none).cast(SEEN)
 
     return F.struct(
         found(F.contains(text, F.lit("@")), EMAIL).alias("email"),
@@ -118,41 +135,97 @@ def base_spans(text: Column) -> Column:
 
 
 def _word(x: Column) -> Column:
-    return F.regexp_replace(F.lower(x), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    """A word of a context: what is an identifier itself counts by its shape."""
+    bare = F.regexp_replace(F.lower(x), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    return F.when(F.contains(x, F.lit("@")), F.lit("@")).otherwise(F.regexp_replace(bare, "[0-9]+", "0"))
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, SPACES, -1), "")
+
+
+def _seen(x: Column) -> Column:
+    """A match with the two words ahead (nearest last) and the one behind; the
+    rest of a token that it begins or ends in is no word."""
+    ahead = _words(F.regexp_replace(x["before"], r"[^\x00-\x20\x7F]+\z", ""))
+    behind = _words(F.regexp_replace(x["after"], r"^[^\x00-\x20\x7F]+", ""))
+    return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), let(ahead, _last_two).alias("ahead"), F.coalesce(F.get(behind, F.lit(0)), F.lit("")).alias("behind"))
+
+
+def _last_two(words: Column) -> Column:
+    return F.slice(words, F.greatest(F.lit(1), F.size(words) - 1), 2)
+
+
+def _may_identify(hit: Column) -> Column:
+    return (F.length(digits(hit)) >= 4) | F.contains(hit, F.lit("@"))
 
 
-def _candidates(text: Column) -> Column:
-    """Identifier-like tokens: (start, end, hit, before, after), where ``before``
-    and ``after`` are the two words ahead and the one behind, normalised."""
-    identifier = r"(?<![^\x00-\x20\x7F])[^\x00-\x20\x7F0-9@]*+[0-9@][^\x00-\x20\x7F]*+"
-    kind = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
-    wanted = F.filter(located(text, identifier), lambda x: (F.length(x["hit"]) <= 64) & ((F.length(digits(x["hit"])) >= 4) | F.contains(x["hit"], F.lit("@"))))
+def _runs(text: Column) -> Column:
+    """Runs of identifier-like tokens, with the words around them."""
+    return F.when(text.rlike("[0-9@]"), F.transform(F.filter(located(text, RUN), lambda x: _may_identify(x["hit"])), _seen)).otherwise(F.array().cast(SEEN)).cast(SEEN)
 
-    def around(x):
-        ahead = F.slice(F.reverse(F.array_remove(F.split(F.substring(x["gap"], -CONTEXT, CONTEXT), SPACES, -1), "")), 1, 2)
-        behind = F.get(F.array_remove(F.split(F.substring(x["after"], 1, CONTEXT), SPACES, -1), ""), F.lit(0))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), F.array_join(F.transform(F.reverse(ahead), _word), " ").alias("before"), F.coalesce(_word(behind), F.lit("")).alias("after"))
 
-    return F.when(text.rlike("[0-9]{2}|@"), F.transform(wanted, around)).otherwise(F.array().cast(kind)).cast(kind)
+def _free(run: Column, taken: Column) -> Column:
+    """What base spans leave of a run: pieces of neighbouring tokens, none longer
+    than LONGEST, each with the words around it."""
+    kind = "array<struct<start:int,end:int,i:int,j:int>>"
+
+    def step(a, token):
+        end = a["at"] + F.length(token)
+        held = F.exists(taken, lambda t: (t["start"] < end) & (t["end"] > a["at"]))
+        last = F.get(a["all"], F.size(a["all"]) - 1)
+        more = (last["j"] == a["n"] - 1) & (end - last["start"] <= LONGEST)
+        begun = F.concat(a["all"], F.array(F.struct(a["at"].alias("start"), end.alias("end"), a["n"].alias("i"), a["n"].alias("j"))).cast(kind))
+        longer = F.concat(F.slice(a["all"], 1, F.greatest(F.lit(0), F.size(a["all"]) - 1)), F.array(F.struct(last["start"].alias("start"), end.alias("end"), last["i"].alias("i"), a["n"].alias("j"))).cast(kind))
+        every = F.when(held, a["all"]).when(F.coalesce(more, F.lit(False)), longer).otherwise(begun)
+        return F.struct((end + 1).alias("at"), (a["n"] + 1).alias("n"), every.alias("all"))
+
+    def pieces(tokens):
+        def piece(p):
+            ahead = F.concat(run["ahead"], F.slice(tokens, 1, p["i"]))
+            behind = F.concat(F.slice(tokens, p["j"] + 2, 1), F.array(run["behind"]))
+            hit = F.array_join(F.slice(tokens, p["i"] + 1, p["j"] - p["i"] + 1), " ")
+            return F.struct(p["start"].alias("start"), p["end"].alias("end"), hit.alias("hit"), let(ahead, _last_two).alias("ahead"), F.get(behind, F.lit(0)).alias("behind"))
+
+        start = F.struct(run["start"].alias("at"), F.lit(0).alias("n"), F.array().cast(kind).alias("all"))
+        return F.transform(F.aggregate(tokens, start, step, lambda a: a["all"]), piece)
+
+    return F.filter(let(F.split(run["hit"], " ", -1), pieces), lambda x: (F.length(x["hit"]) <= LONGEST) & _may_identify(x["hit"]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, base, candidates) of every row; ``row`` is the text's hash."""
+    """(id, row, base, runs) of every row; ``row`` is the text's hash."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(known_id(id_col).alias("id"), F.xxhash64(text).alias("row"), base_spans(text).alias("base"), _candidates(text).alias("candidates"))
+    return docs.select(known_id(id_col).alias("id"), F.xxhash64(text).alias("row"), base_spans(text).alias("base"), _runs(text).alias("runs"))
+
+
+def candidates(scanned: DataFrame) -> DataFrame:
+    """(id, row, start, end, hit, before, after, seed): each base span (one that
+    lies over a shorter one stands for it) and each free piece of a run, with
+    the normalised words ahead and behind."""
+    taken = F.flatten(F.array(*(F.col(f"base.{k}") for k in KINDS)))
+    seeds = F.filter("taken", lambda x: ~F.exists("taken", lambda t: (t["start"] < x["end"]) & (t["end"] > x["start"]) & (t["end"] - t["start"] > x["end"] - x["start"])))
+
+    def marked(spans, seed):
+        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), F.array_join(F.transform(x["ahead"], _word), " ").alias("before"), _word(x["behind"]).alias("after"), F.lit(seed).alias("seed")))
+
+    rows = scanned.select("id", "row", taken.alias("taken"), "runs").where("size(taken) + size(runs) > 0")
+    free = F.flatten(F.transform("runs", lambda run: _free(run, F.col("taken"))))
+    return rows.select("id", "row", F.explode(F.concat(marked(seeds, True), marked(free, False))).alias("c")).select("id", "row", "c.*")
 
 
 def bootstrap(scanned: DataFrame, rounds: int = 2, min_seeds: int = 3, accept: float = 0.6) -> DataFrame:
     """(id, row, found): the spans that learnt patterns add, off the base spans.
 
-    A pattern is the words before a token, or the words around it.  It is
-    accepted if at least ``min_seeds`` different seed tokens stood in it and
-    its score after ``rounds`` rounds is at least ``accept``.
+    A pattern is the words before an instance, or the words around it; where the
+    farther word is an identifier itself, also the nearest words around.  It is
+    accepted if at least ``min_seeds`` different seeds stood in it and its score
+    after ``rounds`` rounds is at least ``accept``.
     """
-    taken = F.flatten(F.array(*(F.col(f"base.{k}") for k in KINDS)))
-    each = scanned.select("id", "row", taken.alias("taken"), F.explode("candidates").alias("c")).select("id", "row", "c.*", F.exists("taken", lambda t: (t["start"] < F.col("c.end")) & (t["end"] > F.col("c.start"))).alias("seed"))
-    each = each.withColumn("instance", F.xxhash64("hit")).where("length(before) > 0")
-    patterns = F.array(F.when(F.contains("before", F.lit(" ")), F.concat(F.col("before"), F.lit(" _"))), F.when(F.length("after") > 0, F.concat(F.col("before"), F.lit(" _ "), F.col("after"))))
+    each = candidates(scanned).withColumn("instance", F.xxhash64("hit")).where("length(before) > 0")
+    near, around = F.substring_index("before", " ", -1), F.length("after") > 0
+    beyond = F.col("before").rlike(r"^\S*[0-9@]\S* [^0-9@]+$")
+    patterns = F.array(F.when(F.contains("before", F.lit(" ")), F.concat(F.col("before"), F.lit(" _"))), F.when(around, F.concat(F.col("before"), F.lit(" _ "), F.col("after"))), F.when(around & beyond, F.concat(near, F.lit(" _ "), F.col("after"))))
     spread = each.select("*", F.explode(F.filter(patterns, lambda p: p.isNotNull())).alias("p")).withColumn("pattern", F.xxhash64("p"))
     edges = spread.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     # only patterns with enough seeds can be accepted: the others leave the graph
@@ -180,7 +253,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     scanned = cut(scan(docs, id_col, text_col), "pii")
     added = bootstrap(scanned, rounds, min_seeds, accept)
-    return scanned.join(added, ["id", "row"], "left").select(given_id("id").alias("id"), "base", F.coalesce("found", F.array().cast(SPAN)).alias("found"))
+    base = F.struct(*(plain(F.col(f"base.{k}")).alias(k) for k in KINDS))
+    return scanned.join(added, ["id", "row"], "left").select(given_id("id").alias("id"), base.alias("base"), F.coalesce("found", F.array().cast(SPAN)).alias("found"))
 
 
 def written(kind: str, spans: Column) -> Column:

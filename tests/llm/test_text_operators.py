@@ -251,6 +251,42 @@ def test_context_discovers_unseen_identifiers(spark):
     assert not any(found[k] for k in found if k != 10)
 
 
+def test_every_kind_seeds_and_spaced_identifiers_are_found(spark):
+    phones = ["+1 (017) 555-7713", "+44 20 7946 0958", "+1 (743) 555-3824", "+1 (523) 555-1055"]
+    cards = ["4111 1111 1111 1111", "4111-1111-1111-1111", "6011000990139424", "5500 0000 0000 0004"]
+    odd = {
+        "phone": [f"words and more, please call me {x} today then" for x in phones],
+        "card": [f"and then he did pay with card {x} as always" for x in cards],
+        "email": [f"a letter goes out to u{k}@mail.example.com from here" for k in range(4)],
+        "ip": [f"some words then connect from 10.0.0.{k} to it" for k in range(4)],
+    }
+    unseen = [
+        ("please call me (017) 555-7713 today", "(017) 555-7713"),
+        ("please call me 017 555 7713 today", "017 555 7713"),
+        ("write a@b.example.com or call me 017 555 7713 today", "017 555 7713"),
+        ("pay with card 4111 1111 1111 1112 as", "4111 1111 1111 1112"),
+        ("goes out to u9(at)4444 from", "u9(at)4444"),
+        ("then connect from 10.0.0.999 to", "10.0.0.999"),
+    ]
+    pairs = list(enumerate(sum(odd.values(), []))) + [(100 + k, t) for k, (t, _) in enumerate(unseen)]
+    pairs += [(200, "room 017 555 7713 is empty"), (201, "call me 12 today"), (202, "me 1 " * 50)]
+    docs = table(spark, pairs)
+    found = {r.id: [s.hit for s in r.found] for r in pii.personal_data(docs).collect()}
+    assert {k: v for k, v in found.items() if v} == {100 + k: [x] for k, (_, x) in enumerate(unseen)}
+    seeds = pii.candidates(pii.scan(docs)).where("seed")
+    assert all(r.before for r in seeds.collect()) and seeds.where("hit like '+%'").count() == len(phones)
+
+
+def test_candidates_are_whole_runs_around_base_spans(spark):
+    texts = ["call a1b2c 017 555 me@x.example.com 2024 7713\n99999 end", "n " + "12345 " * 30, "n " + "1 " * 5000, "9" * 65 + " x 8888"]
+    rows = pii.candidates(pii.scan(table(spark, list(enumerate(texts))))).collect()
+    got = {k: sorted((r.start, r.end, r.hit, r.before, r.after, r.seed) for r in rows if r.id == k) for k in range(4)}
+    assert [x[2:] for x in got[0]] == [("a1b2c 017 555", "call", "@", False), ("me@x.example.com", "0 0", "0", True), ("2024 7713", "0 @", "0", False), ("99999", "0 0", "end", False)]
+    assert all(texts[k][a:b] == hit for k in got for a, b, hit, *_ in got[k])
+    assert " ".join(x[2] for x in got[1]) == ("12345 " * 30).strip() and " ".join(x[2] for x in got[2]) == ("1 " * 5000).strip()
+    assert max(len(x[2]) for x in got[1] + got[2]) <= pii.LONGEST and [x[2:4] for x in got[3]] == [("8888", "0 x")]
+
+
 # --- 4 Repeated passages
 
 
