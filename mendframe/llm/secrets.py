@@ -3,7 +3,9 @@
 Prose spends one token on several characters; a random string spends one on
 little more than one.  Candidate strings are encoded with a tiktoken
 vocabulary, and a low characters-per-token ratio marks them, unless they are
-known digests or identifiers.
+known digests or identifiers.  A candidate is a whole run, a stretch of it
+between words, or a part between separators, so that words glued on do not
+average a random string away.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import base64
 import re
 from functools import lru_cache
+from itertools import permutations
 
 import pyarrow as pa
 import tiktoken
@@ -32,12 +35,23 @@ ASSIGN = re.compile(rf"""({"|".join(map(either_case, NAMES))})["']?\x20*[:=]\x20
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 #: A start of a long run only: shorter runs can't pass, so they needn't be matched one by one.
 HEX_LONG = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Least characters of a random string, by how many of a-z, A-Z and 0-9 it draws on (70 to 95 bits).
+LEAST = {0: 20, 1: 20, 2: 16, 3: 12}
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{min(LEAST.values())},}}")
+PART = re.compile("[A-Za-z0-9]+")
+#: Letters and a few digits behind them, or a number: the shape of a part of an identifier.
+NAMELIKE = re.compile("([A-Za-z]+)[0-9]{0,4}|[0-9]+")
+TIME = re.compile("[0-9]{4}-?[0-9]{2}-?[0-9]{2}[Tt_-]?(?:[0-9]{2}-?){2,3}[0-9]*[Zz]?(?:[+-][0-9]{2,4})?")
+ALPHABETS = tuple(a + b + c for a, b, c in permutations(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789")))
 UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
-#: Lengths in hexadecimal of the usual digests (128, 160, 224, 256, 384, 512 bits).
-DIGESTS = (32, 40, 56, 64, 96, 128)
+#: Lengths in hexadecimal of the usual digests (64, 128, 160, 224, 256, 384, 512 bits).
+DIGESTS = (16, 32, 40, 56, 64, 96, 128)
+#: A digest or UUID between separators.
+WHOLE = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|{'|'.join(f'[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}' for n in DIGESTS)})(?![A-Za-z0-9])")
 #: Characters a token under which a string counts as random (prose has 4, code 3).
 RATIO = 2.0
+#: Characters a token from which a part counts as a word that ends a stretch.
+WORD = 3.0
 #: Fixed value: the pre-tokenizer's pattern of the vocabulary.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -57,26 +71,69 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def is_known(x: str) -> bool:
-    """A digest, a UUID, a number, or an identifier of words."""
-    if UUID.fullmatch(x) or (len(x) in DIGESTS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", x)):
+def tokens(x: str, encoding: tiktoken.Encoding) -> int:
+    """Token count; that of a very long string is taken block by block, so time is linear."""
+    return sum(len(encoding.encode_ordinary(x[i : i + 1024])) for i in range(0, len(x), 1024))
+
+
+def is_known(x: str, encoding: tiktoken.Encoding, ratio: float = RATIO) -> bool:
+    """A digest, a UUID, a time, a number, an alphabet, or an identifier: parts of
+    a name's shape whose letters, if more than three stand together, are words."""
+    if UUID.fullmatch(x) or TIME.fullmatch(x) or (len(x) in DIGESTS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", x)):
+        return True
+    if len(x) <= 66 and any(x.rstrip("+/_=-") in a for a in ALPHABETS):
         return True
-    if not (re.search("[0-9]", x) and re.search("[A-Za-z]", x)):
-        return True  # words, paths, rules of dashes, numbers
-    parts = [p for p in re.split(r"[+/_=-]+|(?<=[a-z])(?=[A-Z])", x) if p]
-    return all(re.fullmatch(r"[A-Za-z][a-z]*[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]+", p) for p in parts)
+    parts = [NAMELIKE.fullmatch(p) for p in PART.findall(x)]
+    if not all(parts):
+        return False
+    words = [p[1] for p in parts if p[1] and len(p[1]) > 3]
+    return sum(map(len, words)) >= ratio * sum(tokens(w, encoding) for w in words)
+
+
+def is_random(x: str, encoding: tiktoken.Encoding, ratio: float = RATIO) -> bool:
+    lower = re.search("[a-z]", x)
+    kinds = (lower, re.search("[A-Z]", x[1:] if lower else x), re.search("[0-9]", x))  # a capital in front is no second kind
+    return len(x) >= LEAST[sum(map(bool, kinds))] and not is_known(x, encoding, ratio) and len(x) < ratio * tokens(x, encoding)
+
+
+def is_word(x: str, encoding: tiktoken.Encoding) -> bool:
+    m = NAMELIKE.fullmatch(x)
+    return bool(m and m[1]) and len(m[1]) > 3 and len(m[1]) >= WORD * tokens(m[1], encoding)
+
+
+def random_in(x: str, encoding: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[int, int]]:
+    """Where a run without digests is random: all of it, else stretches without words, else parts."""
+    if is_random(x, encoding, ratio):
+        return [(0, len(x))]
+    stretches, last = [], False
+    for m in PART.finditer(x):
+        word = is_word(m[0], encoding)
+        if not word:
+            if last:
+                stretches[-1].append(m.span())
+            else:
+                stretches.append([m.span()])
+        last = not word
+    out = []
+    for parts in stretches:
+        whole = (parts[0][0], parts[-1][1])
+        if is_random(x[whole[0] : whole[1]], encoding, ratio):
+            out.append(whole)
+        elif len(parts) > 1:
+            out += [(a, b) for a, b in parts if is_random(x[a:b], encoding, ratio)]
+    return out
 
 
 def random_strings(text: str, encoding: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[str, int, int]]:
-    """Spans of candidates that the vocabulary compresses badly.  Token counts
-    of a very long run are taken block by block, so time is linear."""
+    """Spans of candidates that the vocabulary compresses badly; digests and
+    UUIDs end a candidate."""
     out = []
     for m in CANDIDATE.finditer(text):
-        x = m[0]
-        if not is_known(x):
-            tokens = sum(len(encoding.encode_ordinary(x[i : i + 1024])) for i in range(0, len(x), 1024))
-            if len(x) < ratio * tokens:
-                out.append(("random", *m.span()))
+        at = 0
+        for a, b in [*(k.span() for k in WHOLE.finditer(m[0])), (len(m[0]), 0)]:
+            if a - at >= min(LEAST.values()):
+                out += [("random", m.start() + at + c, m.start() + at + d) for c, d in random_in(m[0][at:a], encoding, ratio)]
+            at = b
     return out
 
 

@@ -438,6 +438,33 @@ def test_secrets(docs, empty):
     assert secrets.secrets(empty, path).count() == 0
 
 
+def test_glued_words_and_letters_alone_hide_no_secret():
+    import public_tokenizers
+
+    encoding = secrets.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng, letters, base62 = random.Random(10), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    fronts = ("", "/services/notifications/production/", "connection_string_for_production=", "some-url_for-")
+    for n, alphabet, least in ((14, base62, 0.95), (20, base62, 0.97), (24, base62, 0.97), (32, base62, 0.97), (32, base62[:52], 0.97), (32, letters, 0.9), (40, base62 + "+/", 0.97)):
+        for front in fronts:
+            caught = 0
+            for _ in range(100):
+                x = "".join(rng.choices(alphabet, k=n - 1)) + rng.choice(alphabet[-10:])
+                text = f"and see {front}{x} there"
+                # separators at the ends of a secret may be left out
+                caught += any(a <= text.index(x) + 3 and b >= text.index(x) + n - 3 for _, a, b in secrets.random_strings(text, encoding))
+            assert caught >= 100 * least, (n, front, caught)
+
+
+def test_recognised_strings_are_left_alone():
+    import public_tokenizers
+
+    encoding = secrets.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    plain = "internationalization getElementsByTagName connection_string_for_production some_long_identifier_name_2 AbstractSingletonProxyFactoryBean /usr/local/lib/python3/site-packages/numpy2 /a/b/c/d/e/f/g/h/i/j Donaudampfschifffahrtsgesellschaft ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz0123456789 ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/ ==================== 12345678901234567890 2024-01-01T00-00-00 20240101T120000Z d41d8cd98f00b204e9800998ecf8427e 550e8400-e29b-41d4-a716-446655440000 /objects/550e8400-e29b-41d4-a716-446655440000 sha256=e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855 x86_64-linux-gnu application/x-www-form-urlencoded"
+    assert [x for x in plain.split() if secrets.random_strings(x, encoding)] == []
+    text = "word/" * 40_000 + "q8Zr1Xv9Lm2Kp4Tn7Wy3Bd6Hs0Jf5Gc" + "=word" * 20_000
+    assert [text[a:b] for _, a, b in secrets.random_strings(text, encoding)] == ["q8Zr1Xv9Lm2Kp4Tn7Wy3Bd6Hs0Jf5Gc"]
+
+
 # --- 10 Lines
 
 
