@@ -27,6 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 ORDER = struct(Field("id", INT), Field("price", FLOAT), Field("status", enum("F", "O", "P")))
 
@@ -339,6 +340,47 @@ def align_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.col("a.status").alias("verbatim"), F.col("a.start").cast("long").alias("start"))
 
 
+#: Stands in no document.
+FOREIGN = "zzqxzz"
+_LOWERED = f"list_transform({_TOKENS}, lambda x: lower(x))"
+_ALIGN_ALL = f"""
+WITH t AS (SELECT doc_id, text, {_TOKENS} AS own, {_LOWERED} AS low, nullif(split_part(text, ' ', 2), '') AS word FROM documents),
+m AS (SELECT *, len(low) // 2 AS i, len(low) >= 4 AS able FROM t),
+v AS (SELECT *, low[i] AS a, low[i + 1] AS b, low[i + 2] AS c, translate(own[i] || ' ' || own[i + 1] || ' ' || own[i + 2], '{LOWER}', '{UPPER}') AS cased FROM m),
+w AS (SELECT *,
+  list_filter(range(len(low) - 2), lambda k: low[k + 1] = a AND low[k + 2] = b AND low[k + 3] = c)[1] AS run,
+  list_filter(range(len(low) - 1), lambda k: low[k + 1] = a AND low[k + 2] = b)[1] AS block,
+  list_filter(range(len(low) - 3), lambda k: (low[k + 1] = a AND low[k + 2] = b AND (low[k + 3] = c OR low[k + 4] = c)) OR (low[k + 3] = b AND low[k + 4] = c AND (low[k + 1] = a OR low[k + 2] = a)))[1] AS near
+FROM v)
+SELECT doc_id,
+  CASE WHEN word IS NOT NULL THEN 'exact' END AS verbatim, CAST(CASE WHEN word IS NOT NULL THEN strpos(text, word) - 1 END AS BIGINT) AS verbatim_start,
+  CASE WHEN able THEN 'exact' END AS cased, CAST(CASE WHEN able THEN CASE WHEN strpos(text, cased) > 0 THEN len({_TOKENS.replace("text", "substr(text, 1, strpos(text, cased) - 1)")}) ELSE run END END AS BIGINT) AS cased_token,
+  CASE WHEN able THEN 'lesser' END AS lesser, CAST(CASE WHEN able THEN block END AS BIGINT) AS lesser_token,
+  CASE WHEN able THEN 'fuzzy' END AS fuzzy, CAST(CASE WHEN able THEN near END AS BIGINT) AS fuzzy_token,
+  CASE WHEN text IS NOT NULL THEN 'unmatched' END AS foreign_word
+FROM w"""
+
+
+@query(_ALIGN_ALL)
+def align_all_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, whatever its words: its second word, and three tokens of
+    its middle in capitals, with a foreign word among them and behind them (null
+    in documents of fewer than four tokens)."""
+    df = wide(spark, sf_dir, "documents").withColumn("own", native.token_texts(F.col("text")))
+    df = df.withColumn("t", F.when(F.size("own") >= 4, F.slice("own", F.greatest(F.lit(1), F.floor(F.size("own") / 2).cast("int")), 3)))
+    cased = F.translate(F.array_join("t", " "), LOWER, UPPER)
+    mixed = F.when(F.col("t").isNotNull(), F.concat_ws(" ", F.col("t")[0], F.col("t")[1], F.lit(FOREIGN), F.col("t")[2]))
+    values = {"word": F.nullif(F.split_part("text", F.lit(" "), F.lit(2)), F.lit("")), "cased": cased, "mixed": F.translate(mixed, LOWER, UPPER), "behind": F.concat(cased, F.lit(f" {FOREIGN}")), "foreign": F.lit(FOREIGN)}
+    df = df.select("doc_id", "text", *(v.alias(k) for k, v in values.items()))
+    df = df.select("doc_id", "text", M.align("text", "word").alias("w"), M.align("text", "cased").alias("c"), M.align("text", "mixed").alias("m"), M.align("text", "behind", lesser=False).alias("b"), M.align("text", "foreign").alias("f"))
+
+    def token(a: str) -> Column:
+        return F.when(F.col(a)["start"].isNotNull(), F.size(native.token_texts(F.col("text").substr(F.lit(1), F.col(a)["start"])))).cast("long")
+
+    found = [x for a, name in (("c", "cased"), ("m", "lesser"), ("b", "fuzzy")) for x in (F.col(a)["status"].alias(name), token(a).alias(f"{name}_token"))]
+    return df.select("doc_id", F.col("w.status").alias("verbatim"), F.col("w.start").cast("long").alias("verbatim_start"), *found, F.col("f.status").alias("foreign_word"))
+
+
 @query("SELECT o_orderkey, '/id,/price,/tags/0,/tags/1' AS paths, CAST(o_orderkey AS VARCHAR) AS first FROM orders")
 def leaf_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.format_string('{"id": %s, "price": %s, "none": null, "tags": ["a", "b"]}', *(F.col(c).cast("string") for c in PARTS[:2]))

@@ -118,6 +118,19 @@ def test_native_queries_run_no_python(spark, name):
     assert F
 
 
+def test_alignment_of_all_documents_reaches_every_status(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    rows = queries.QUERIES["align_all_values"](spark, folder).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = con.execute(queries.ORACLES["align_all_values"]).fetchall()
+    assert sorted(map(tuple, rows), key=str) == sorted(want, key=str) and len(rows) == spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert {r.cased for r in rows} | {r.lesser for r in rows} | {r.fuzzy for r in rows} | {r.foreign_word for r in rows} >= {"exact", "lesser", "fuzzy", "unmatched"}
+    assert len({r.cased_token for r in rows}) > 1 or len({r.lesser_token for r in rows}) > 1
+
+
 def test_enum_domain_metadata():
     from pyspark.sql import types as T
 

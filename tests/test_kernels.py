@@ -259,3 +259,16 @@ def test_merging():
     assert X.merge("", "x") == "x" and X.merge("a", "b", "last_wins") == "b" and X.merge(None, 0) == 0
     span = lambda a, b: {"start": a, "end": b}
     assert X.merge_spans([span(0, 5)], [span(3, 6), span(5, 7), span(6, 9), span(None, None)]) == [span(0, 5), span(5, 7), span(None, None)]
+
+
+def test_best_window_is_that_of_comparing_all():
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(11)
+    for _ in range(500):
+        source, target = (rng.choices("abcdef", k=rng.randrange(1, n)) for n in (25, 7))
+        n, threshold = len(target), rng.choice([0.3, 0.5, 0.75])
+        rated = [(sum(b.size for b in SequenceMatcher(None, source[k : k + n], target, autojunk=False).get_matching_blocks()) / n, -k) for k in range(len(source) - n + 1)]
+        want = -max(rated)[1] if rated and max(rated)[0] >= threshold else None
+        assert X.most_alike(source, target, threshold) == want
