@@ -322,13 +322,19 @@ def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id, doc_id, CAST(strpos(d.text, b.text) - 1 AS BIGINT) AS start, CAST(strpos(d.text, b.text) - 1 + length(b.text) AS BIGINT) AS \"end\" FROM benchmark b JOIN documents d ON strpos(d.text, b.text) > 0")
 def align_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where test passages stand verbatim: candidates share the passage's first
-    eight tokens (an equi-join), and only those texts are searched."""
-    gram = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(t) - 7)), lambda i: F.xxhash64(F.slice(t, i, 8)))
+    """Where test passages stand verbatim: candidates share up to eight of the
+    passage's inner words (an equi-join), and only those texts are searched;
+    passages without inner words are searched in every text."""
     # a passage may begin or end inside a document's word: its inner words decide
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("value"), F.split("text", r"\s+").alias("w")).select("item_id", "value", F.xxhash64(F.slice("w", 2, 8)).alias("g"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("value"), F.split("text", r"\s+").alias("w")).withColumn("n", F.least(F.lit(8), F.size("w") - 2))
+    keyed = items.where("n > 0").select("item_id", "n", F.xxhash64(F.expr("slice(w, 2, n)")).alias("g"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", r"\s+").alias("w"))
-    near = docs.select("doc_id", F.explode(F.array_distinct(gram(F.col("w")))).alias("g")).join(items.select("item_id", "g"), "g").select("doc_id", "item_id").distinct()
+    lengths = F.broadcast(keyed.agg(F.collect_set("n").alias("lengths")))  # one row
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n)))
+    every = F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.size("w")), grams))
+    near = docs.crossJoin(lengths).select("doc_id", F.explode(F.array_distinct(every)).alias("g")).join(keyed.select("item_id", "g"), "g").select("doc_id", "item_id")
+    short = docs.select("doc_id").crossJoin(F.broadcast(items.where("n <= 0 and length(value) > 0").select("item_id")))
+    near = near.unionByName(short).distinct()
     found = near.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "value"), "item_id")
     return found.select("item_id", "doc_id", native.exact_align(F.col("text"), F.col("value")).alias("s")).where("s is not null").select("item_id", "doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
 

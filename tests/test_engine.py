@@ -131,6 +131,22 @@ def test_alignment_of_all_documents_reaches_every_status(spark):
     assert len({r.cased_token for r in rows}) > 1 or len({r.lesser_token for r in rows}) > 1
 
 
+def test_short_items_are_found_verbatim(spark, tmp_path):
+    import duckdb
+
+    words = "the quick brown fox jumps over the lazy dog and runs off into a wide green field"
+    docs = [(1, words), (2, "a quick brown"), (3, "fox"), (4, "x " + words.replace(" ", "  ")), (5, "")]
+    items = [(n * 100 + k, " ".join(words.split()[k : k + n])) for n in range(1, 13) for k in range(4)]
+    items += [(k + 5000, x[1:-1]) for k, x in items if len(x) > 5] + [(9000, "brown fox "), (9001, " over the lazy dog "), (9002, "not there"), (9003, "dog over the")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["align_exact"]).fetchall()
+    assert sorted(map(tuple, queries.QUERIES["align_exact"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) > 90
+
+
 def test_enum_domain_metadata():
     from pyspark.sql import types as T
 
