@@ -88,6 +88,17 @@ def test_history_rewritten_late_is_detected():
     assert [x[4] for x in chat.spans(iter(own), windowed)] == [False] * 100 + [True] * 20
 
 
+def test_turns_that_are_rendered_in_part_are_given_as_unchecked(spark):
+    def windowed(ts):  # local up to the turn that drops the first ones
+        return "".join(f"<{r}>{t}" for r, t in ts[-70:])
+
+    rows = [(1, k, "user", f"t{k}") for k in range(90)] + [(2, 0, "user", "q")]
+    for lookback in (None, 1):
+        got = sorted(chat.format_conversations(turns(spark, rows), windowed, lookback=lookback).collect(), key=lambda r: (r.conv, r.turn))
+        assert [r.rewrites or not r.checked for r in got] == [k >= (70 if lookback is None else 64) for k in range(90)] + [False]
+        assert all(r.checked for r in got) == (lookback is None)
+
+
 # --- 9 Toxicity
 
 
