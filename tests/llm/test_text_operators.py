@@ -380,38 +380,75 @@ def test_remove_spans(spark):
 
 def test_sketch_difference_and_round_trip():
     rng = random.Random(9)
-    for n, m, shared in ((0, 0, 0), (3, 2, 50), (40, 60, 500), (300, 2, 10), (0, 7, 0)):
-        a, b, c = (np.array([rng.getrandbits(64) for _ in range(k)], dtype=np.uint64) for k in (n, m, shared))
-        left, right = iblt.difference(np.concatenate([a, c]), np.concatenate([b, c]))
-        assert set(left.tolist()) == set(a.tolist()) and set(right.tolist()) == set(b.tolist())
-    one = iblt.Sketch(8, c)
-    again = iblt.Sketch.read(one.written())
-    assert (one - again).peel()[0].size == 0 and again.written() == one.written()
+    cases = [[np.array([rng.getrandbits(64) for _ in range(k)], dtype=np.uint64) for k in n] for n in ((0, 0, 0), (3, 2, 50), (40, 60, 500), (300, 2, 10), (0, 7, 0), (1, 0, 9), (2000, 1500, 30))]
+
+    def together(k):
+        every = [np.concatenate([c[k], c[2]]) for c in cases]
+        return iblt.Digests(np.concatenate(every), np.concatenate([[0], np.cumsum([len(x) for x in every])]))
+
+    one, two = together(0), together(1)
+    for stored in (None, (iblt.Sketches.of(one), iblt.Sketches.of(two))):
+        row, key, sign = iblt.differences(one, two, stored)
+        for k, (a, b, _) in enumerate(cases):
+            left, right = key[(row == k) & (sign > 0)], key[(row == k) & (sign < 0)]
+            assert sorted(left.tolist()) == sorted(a.tolist()) and sorted(right.tolist()) == sorted(b.tolist())
+    sketches = iblt.Sketches.of(one)
+    again = iblt.Sketches.read(sketches.written())
+    assert again.written() == sketches.written()
+    row, _, _, done = (sketches - again).peel()
+    assert done.all() and not len(row)
 
 
 def test_documents_against_their_edits(docs, empty, spark):
-    pairs = [(i, t or "") for i, t in corpus()]
-    order = sorted(pairs, key=lambda p: (-rank(p[0]) if p[0] is not None else 1 << 64, p[1]))
+    by_hash = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    order = [(r.doc_id, r.text) for r in sorted(by_hash, key=lambda r: (-r.doc_id if r.doc_id is not None else 1 << 64, r.h))]
     want = []
     for k, (i, t) in enumerate(order):
         following = order[(k + 1) % len(order)][1]
         c = len(t) // 3
-        want.append((i, t, t[: len(t) - c] + following[:c]))
+        want.append((i, t, t[: len(t) - c] + following[:c], following))
     rows = iblt.compare_with_edits(docs).collect()
-    assert by_row((r.id, r.text, r.edited) for r in rows) == by_row(want)
+    assert by_row((r.id, r.text, r.edited) for r in rows) == by_row(w[:3] for w in want)
+    follower = {w[:3]: w[3] for w in want}
     prints = {}
+
+    def share(a, b):
+        a, b = set(iblt.digests([a]).keys.tolist()), set(iblt.digests([b]).keys.tolist())
+        return len(a & b) / len(a | b) if a | b else 1.0
+
     for r in rows:
         prints.setdefault(r.text, set()).add(r.fingerprint)
-        a, b = iblt.digests(r.text), iblt.digests(r.edited)
-        both = len(np.union1d(a, b))
-        assert r.near_edited == (len(np.intersect1d(a, b)) / both if both else 1.0)
-        assert 0 <= r.near_next <= 1
+        prints.setdefault(r.edited, set()).add(r.edited_fingerprint)
+        assert r.near_edited == pytest.approx(share(r.text, r.edited)) and r.near_next == pytest.approx(share(r.text, follower[(r.id, r.text, r.edited)]))
     assert all(len(p) == 1 for p in prints.values())
     assert iblt.compare_with_edits(empty).count() == 0
     one = iblt.compare_with_edits(table(spark, [(1, "abcdef ghi")])).collect()
     assert [(r.edited, r.near_next) for r in one] == [("abcdef abc", 1.0)]
 
 
+def test_ranges_hold_repeated_ids_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(iblt, "GROUP_BYTES", 64)
+    rng = random.Random(12)
+    pairs = [(rng.choice([None, 5, 5, *range(300)]), f"text {rng.randrange(40)} of " + "w " * rng.randrange(30)) for _ in range(900)]
+    docs = table(spark, pairs)
+    ranges = iblt.with_next(docs)
+    assert ranges.where("head").count() >= ranges.select("range").distinct().count() > 4
+    got = sorted((rank(r.id), r.text, r.edited) for r in iblt.compare_with_edits(docs).collect())
+    by_hash = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = sorted(by_hash, key=lambda r: (-r.doc_id if r.doc_id is not None else 1 << 64, r.h))
+    assert got == sorted((rank(a.doc_id), a.text, iblt.edited(a.text, b.text)) for a, b in zip(order, order[1:] + order[:1], strict=True))
+
+
+def test_likeness_has_no_step_at_any_length():
+    rng = random.Random(13)
+    near = []
+    for n in range(300, 500, 10):
+        a, b = (" ".join(f"{rng.getrandbits(20):x}" for _ in range(200))[:n] for _ in range(2))
+        one, two = iblt.digests([a]), iblt.digests([iblt.edited(a, b)])
+        near.append(iblt.likenesses(one, two)[0])
+    assert min(near) > 0.3 and max(near) < 0.7
+
+
 # --- 7 Secrets
 
 
