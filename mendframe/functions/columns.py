@@ -19,8 +19,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from mendframe.kernel import coerce as C
 from mendframe.kernel import patch as P
 from mendframe.kernel import text as X
-from mendframe.kernel.candidates import ParseOptions, blocks, regions, strict
-from mendframe.schema import Kind
+from mendframe.kernel.candidates import ParseOptions, blocks, candidates, regions, strict
+from mendframe.kernel.candidates import completion as overall
+from mendframe.schema import Kind, dumps, error_paths, validate
 
 STRINGS = T.ArrayType(T.StringType())
 PERMISSIVE, FAILFAST = "PERMISSIVE", "FAILFAST"
@@ -30,12 +31,14 @@ def ready(value: Any, kind: Kind) -> Any:
     """A value of ``kind`` as Arrow takes it (maps as pairs, 'any' as JSON)."""
     if value is None:
         return None
-    if kind.name == "any":
-        return json.dumps(value, ensure_ascii=False)
+    if kind.name in ("any", "union"):
+        return dumps(value)
     if kind.name == "list":
         return [ready(v, kind.item) for v in value]
     if kind.name == "dict":
         return [(k, ready(v, kind.item)) for k, v in value.items()]
+    if kind.name == "tuple":
+        return {f"_{n + 1}": ready(v, k) for n, (v, k) in enumerate(zip(value, kind.variants, strict=True))}
     if kind.name == "struct":
         return {f.name: ready(value.get(f.name), f.kind) for f in kind.fields}
     return value
@@ -91,9 +94,13 @@ def coerce(value_json: Column | str, kind: Kind, options: C.CoerceOptions = C.Co
     return batched(lambda x: _guarded(lambda: C.coerce_value(json.loads(x), kind, options), kind, mode), result(kind), value_json)
 
 
+TRACE = "array<struct<idx:int,value_json:string,completion:string,fixes:array<string>,result_json:string,flags:array<string>,score:int,error:string>>"
+
+
 def parse_candidates(text: Column | str, kind: Kind, options: ParseOptions = ParseOptions(), coerce: C.CoerceOptions = C.CoerceOptions()) -> Column:
     """Every candidate: array of (idx, value_json, completion, fixes, result_json,
-    flags, score, error); ``F.inline`` makes it a table."""
+    flags, score, error); ``F.inline`` makes it a table.  Number -1 is the text as
+    it stands, and a score of -1 a failure."""
 
     def run(x):
         try:
@@ -101,7 +108,29 @@ def parse_candidates(text: Column | str, kind: Kind, options: ParseOptions = Par
         except (ValueError, RecursionError):
             return []
 
-    return batched(run, "array<struct<idx:int,value_json:string,completion:string,fixes:array<string>,result_json:string,flags:array<string>,score:int,error:string>>", text)
+    return batched(run, TRACE, text)
+
+
+def coerce_candidates(value_json: Column | str, kind: Kind, options: C.CoerceOptions = C.CoerceOptions()) -> Column:
+    """The same for a value that is parsed already: as it stands, then coerced."""
+    return batched(lambda x: C.trace_value(json.loads(x), kind, options), TRACE, value_json)
+
+
+def completion(text: Column | str, options: ParseOptions = ParseOptions(), is_done: bool = True) -> Column:
+    """Whether all readings of a text are complete."""
+
+    def run(x):
+        try:
+            return overall(candidates(x, options, is_done))
+        except (ValueError, RecursionError):
+            return None
+
+    return batched(run, "string", text)
+
+
+def schema_errors(value_json: Column | str, kind: Kind) -> Column:
+    """JSON Pointers to every place where a value doesn't fit its schema."""
+    return batched(lambda x: error_paths(json.loads(x), kind), STRINGS, value_json)
 
 
 def normalize_key(key: Column | str) -> Column:
@@ -151,12 +180,12 @@ def align(text: Column | str, value: Column | str, fuzzy: bool = True, threshold
     return batched(lambda x, v: None if v is None else dict(zip(("status", "start", "end"), X.align(x, v, fuzzy, threshold, lesser), strict=True)), SPAN, text, value)
 
 
-def ground(text: str, value: Any, offset: int = 0, **options) -> list[dict]:
+def ground(text: str, value: Any, offset: int = 0, unicode: bool = False, **options) -> list[dict]:
     """Evidence of each leaf of ``value`` in ``text``; characters are shifted by
     ``offset``, token numbers are the text's own."""
-    found, out = X.tokens(text), []
+    found, out = X.tokens(text, unicode), []
     for path, v in X.leaves(value):
-        status, a, b = X.align(text, v, known=found, **options)
+        status, a, b = X.align(text, v, known=found, unicode=unicode, **options)
         first, last = X.token_span(found, a, b)
         out.append({"path": path, "value_preview": v[:100], "status": status, "start": None if a is None else a + offset, "end": None if b is None else b + offset, "token_start": first, "token_end": last})
     return out
@@ -175,6 +204,21 @@ def apply_patch(doc_json: Column | str, ops: Column | str, policy: P.Policy = P.
     return batched(run, "struct<value_json:string,error:string>", doc_json, ops)
 
 
+def apply_patch_and_validate(doc_json: Column | str, ops: Column | str, kind: Kind, policy: P.Policy = P.Policy()) -> Column:
+    """struct(value, flags, score, error): the patched document if it is valid as
+    it is (nothing is coerced, so there are no flags)."""
+
+    def run(x, todo):
+        try:
+            every = [P.Op(o["op"], o["path"], None if o["value_json"] is None else json.loads(o["value_json"])) for o in todo or ()]
+            value = validate(P.apply_patch(json.loads(x), every, policy), kind, by_name=False)
+        except ValueError as e:
+            return {"value": None, "flags": None, "score": None, "error": str(e)}
+        return {"value": ready(value, kind), "flags": [], "score": 0, "error": None}
+
+    return batched(run, result(kind), doc_json, ops)
+
+
 def normalize_patches(raw: Column | str) -> Column:
     """struct(ops, error) of a text that holds patch operations in some shape."""
 
@@ -187,6 +231,20 @@ def normalize_patches(raw: Column | str) -> Column:
     return batched(run, "struct<ops:array<struct<op:string,path:string,value_json:string>>,error:string>", raw)
 
 
+def slice_schema(schema_text: Column | str, paths: Column | str) -> Column:
+    return batched(lambda x, p: P.slice_schema(x, p or []), "string", schema_text, paths)
+
+
+def token_span(text: Column | str, start: Column | str, end: Column | str) -> Column:
+    """struct(start, end) of the tokens that a stretch of characters touches."""
+
+    def run(x, a, b):
+        first, last = X.token_span(X.tokens(x), a, b)
+        return {"start": first, "end": last}
+
+    return batched(run, "struct<start:int,end:int>", text, start, end)
+
+
 def slice_doc(doc_json: Column | str, paths: Column | str) -> Column:
     return batched(lambda x, p: json.dumps(P.slice_doc(json.loads(x), p or []), ensure_ascii=False), "string", doc_json, paths)
 

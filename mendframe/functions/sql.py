@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udf, udtf
 
 from mendframe.kernel import coerce as C
 from mendframe.kernel import text as X
 from mendframe.kernel.candidates import blocks, regions, strict
-from mendframe.schema import from_ddl
+from mendframe.schema import Kind, dumps, from_ddl
 
 
 class ParseDebug:
@@ -60,18 +61,37 @@ TABLES = {
 }
 
 
-def schema_parse(text: str | None, ddl: str) -> str | None:
-    """The value as JSON, or null."""
-    try:
-        return None if text is None else json.dumps(C.parse(text, from_ddl(ddl)).value, ensure_ascii=False)
-    except (ValueError, RecursionError):
-        return None
+def schema_parse(text: pa.Array, ddl: pa.Array) -> pa.Array:
+    """The values as JSON, or null; one call a batch."""
+    kinds: dict[str, Kind] = {}
+
+    def one(x: str | None, d: str) -> str | None:
+        if x is None or d is None:
+            return None
+        if d not in kinds:
+            kinds[d] = from_ddl(d)
+        try:
+            return dumps(C.parse(x, kinds[d]).value)
+        except (ValueError, RecursionError):
+            return None
+
+    return pa.array([one(x, d) for x, d in zip(text.to_pylist(), ddl.to_pylist(), strict=True)], pa.string())
+
+
+def normalize_key(key: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else C.normalize_key(x) for x in key.to_pylist()], pa.string())
+
+
+def parse_number(text: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else C.parse_float(x) for x in text.to_pylist()], pa.float64())
+
+
+SCALARS = ((schema_parse, "string"), (normalize_key, "string"), (parse_number, "double"))
 
 
 def register(spark: SparkSession) -> None:
     """Make the functions known to ``spark.sql``."""
     for name, (table, kind) in TABLES.items():
         spark.udtf.register(name, udtf(table, returnType=kind))
-    spark.udf.register("schema_parse", schema_parse, "string")
-    spark.udf.register("normalize_key", lambda x: None if x is None else C.normalize_key(x), "string")
-    spark.udf.register("parse_number", lambda x: None if x is None else C.parse_float(x), "double")
+    for function, kind in SCALARS:
+        spark.udf.register(function.__name__, arrow_udf(function, kind))

@@ -11,8 +11,9 @@ from typing import Any
 
 from mendframe.kernel.repair import COMPLETE, INCOMPLETE, repair
 
-FENCE = re.compile(r"^[ \t]*(?:```|~~~)([a-zA-Z0-9/_ .\-]*)(?:\n|\Z)", re.M)
-FENCE_END = re.compile(r"^[ \t]*(?:```|~~~)[ \t]*$", re.M)
+#: An opening fence with its tag, and a closing one, alone on its line.
+FENCE = re.compile(r"^[ \t]*(?:```|~~~)([a-zA-Z0-9/_ .\-]*)(?:\n|$)", re.M)
+FENCE_END = re.compile(r"^[ \t]*(?:```|~~~)(?:\n|$)", re.M)
 
 
 @dataclass(frozen=True)
@@ -44,7 +45,7 @@ def blocks(text: str) -> tuple[list[str], str]:
     found, at = [], 0
     while m := FENCE.search(text, at):
         end = FENCE_END.search(text, m.end())
-        found.append(text[m.end() : end.start()] if end else text[m.end() :].strip())
+        found.append(text[m.end() : end.start() if end else len(text)].strip())
         at = end.end() if end else len(text)
         if not end:
             break
@@ -76,16 +77,24 @@ def regions(text: str) -> list[str]:
 
 
 def closed(text: str) -> tuple[bool, Any]:
-    """The text with its open string and brackets closed, as strict JSON."""
-    stack, inside = [], False
-    for m in re.finditer(r'\\.|["{}\[\]]', text, re.S):
-        if m[0] == '"':
-            inside = not inside
+    """The text with its open string and brackets closed, as strict JSON; a text
+    without an open bracket is not read.  Closers that fit no open bracket are passed over."""
+    stack, inside, i = [], False, 0
+    for m in re.finditer(r'["{}\[\]]', text):
+        if m.start() < i:
+            continue
+        if m[0] == '"' and inside:
+            k = m.start()
+            while k > i and text[k - 1] == "\\":
+                k -= 1
+            inside = (m.start() - k) % 2 == 1  # escaped
+        elif m[0] == '"':
+            inside, i = True, m.end()
         elif not inside and m[0] in "{[":
             stack.append("}" if m[0] == "{" else "]")
-        elif not inside and m[0] in "}]" and stack:
+        elif not inside and stack and stack[-1] == m[0]:
             stack.pop()
-    return strict(text + '"' * inside + "".join(reversed(stack)))
+    return strict(text + '"' * inside + "".join(reversed(stack))) if stack else (False, None)
 
 
 def few(text: str) -> bool:
@@ -105,11 +114,11 @@ def readings(text: str, options: ParseOptions, is_done: bool = True, depth: int
         return
     some = False
     if options.allow_markdown_json and ("```" in text or "~~~" in text):
-        inner = replace(options, allow_markdown_json=False, allow_find_all_json_objects=False, allow_as_string=True)
+        inner = ParseOptions(allow_markdown_json=False, allow_find_all_json_objects=False, depth_limit=options.depth_limit)
         found, tail = blocks(text)
         fenced = []
-        for b in found:
-            for c in readings(b, inner, False, depth + 1):
+        for b in found if depth + 1 < options.depth_limit else ():
+            for c in candidates(b, inner, False, depth + 1):
                 fenced.append(replace(c, fixes=("markdown", *c.fixes)))
                 yield fenced[-1]
         some = bool(fenced)
@@ -129,7 +138,7 @@ def readings(text: str, options: ParseOptions, is_done: bool = True, depth: int
         yield from mended
         if len(mended) > 1:
             yield Candidate([c.value for c in mended], INCOMPLETE, ("fixed_array",))
-    if not some:
+    if not some and options.allow_fixes:
         ok, value = closed(text)
         if ok:
             some = True
@@ -138,10 +147,10 @@ def readings(text: str, options: ParseOptions, is_done: bool = True, depth: int
         yield Candidate(text, COMPLETE if is_done else INCOMPLETE, ("as_string",) if some else ())
 
 
-def candidates(text: str, options: ParseOptions = ParseOptions(), is_done: bool = True) -> list[Candidate]:
+def candidates(text: str, options: ParseOptions = ParseOptions(), is_done: bool = True, depth: int = 0) -> list[Candidate]:
     """The readings in order, at most ``max_candidates`` of them (complete ones,
     objects, few fixes first).  Raises ValueError if there is none."""
-    out = list(readings(text, options, is_done))
+    out = list(readings(text, options, is_done, depth))
     if not out:
         raise ValueError("no reading of the text")
     if len(out) > options.max_candidates:
@@ -153,3 +162,8 @@ def candidates(text: str, options: ParseOptions = ParseOptions(), is_done: bool
 
         out = [out[k] for k in sorted(sorted(range(len(out)), key=rank)[: options.max_candidates])]
     return out
+
+
+def completion(found: list[Candidate]) -> str:
+    """That of the whole reading: incomplete if any candidate is."""
+    return INCOMPLETE if any(c.completion == INCOMPLETE for c in found) else COMPLETE

@@ -10,23 +10,30 @@ from pyspark.sql import functions as F
 from mendframe.kernel.coerce import UNKNOWN_WEIGHT, WEIGHTS
 from mendframe.kernel.patch import Policy
 
-NUMBER = r"[-+]?\p{Sc}?\s*(?:\d+(?:,\d+)*(?:\.\d+)?|\.\d+)(?:[eE][-+]?\d+)?"
+#: Fixed value: a number in prose; only a dollar sign may stand between its sign and its digits.
+NUMBER = r"[-+]?\$?(?:[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?|\.[0-9]+)(?:e[-+]?[0-9]+)?"
+FRACTION = r"^\s*([-+]?[0-9]+(?:\.[0-9]+)?)\s*/\s*([-+]?[0-9]+(?:\.[0-9]+)?)\s*$"
 TOKEN = r"[\p{L}\p{N}_']+|[^\p{L}\p{N}_\s]+"
 
 
+def _plain(text: Column) -> Column:
+    return F.rtrim(F.trim(text), F.lit(","))
+
+
 def number(text: Column) -> Column:
-    """A double from plain, fraction, grouped, currency or percent notation."""
-    plain = F.rtrim(F.trim(text), F.lit(","))
+    """A double from plain, fraction, grouped, dollar or percent notation; each
+    notation is looked at only where those before it don't apply."""
+    plain = _plain(text)
     amounts = F.regexp_extract_all(plain, F.lit(NUMBER), 0)
-    part = [F.regexp_extract(plain, r"^([-+]?\d+(?:\.\d+)?)\s*/\s*([-+]?\d+(?:\.\d+)?)$", k) for k in (1, 2)]
+    part = [F.regexp_extract(plain, FRACTION, k) for k in (1, 2)]
     fraction = F.try_divide(part[0].try_cast("double"), part[1].try_cast("double"))
-    amount = F.when(F.size(amounts) == 1, F.regexp_replace(F.get(amounts, F.lit(0)), r"[,\p{Sc}\s]", "").try_cast("double"))
-    return F.when(part[0] != "", fraction).otherwise(F.coalesce(plain.try_cast("double"), amount))
+    amount = F.get(F.transform(F.array(amounts), lambda a: F.when(F.size(a) == 1, F.regexp_replace(F.get(a, F.lit(0)), "[,$]", "").try_cast("double"))), F.lit(0))
+    return F.coalesce(plain.try_cast("double"), F.when(plain.rlike(FRACTION), fraction).otherwise(amount))
 
 
 def integer(text: Column) -> Column:
-    """A long from the same notations, if it is whole to within 1e-9."""
-    x = number(text)
+    """A long from a plain number, if it is whole to within 1e-9."""
+    x = _plain(text).try_cast("double")
     return F.when(F.abs(x - F.round(x)) < 1e-9, F.round(x).try_cast("long"))
 
 
@@ -39,10 +46,10 @@ def enum(text: Column, domain: Sequence[str]) -> Column:
     """struct(value, flags): exact, any case, then without punctuation."""
 
     def bare(x):
-        return F.lower(F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}_\s]", "")))
+        return F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}_\s]", ""))
 
     members = F.array_sort(F.array(*map(F.lit, domain)))
-    levels = [(F.filter(members, lambda d: d == text), ""), (F.filter(members, lambda d: F.lower(d) == F.lower(F.trim(text))), "case_insensitive"), (F.filter(members, lambda d: bare(d) == bare(text)), "strip_punct")]
+    levels = [(F.filter(members, lambda d: d == text), ""), (F.filter(members, lambda d: F.lower(d) == F.lower(text)), "case_insensitive"), (F.filter(members, lambda d: bare(d) == bare(text)), "strip_punct")]
     out = None
     for hits, flag in levels:
         flags = F.filter(F.array(F.lit(flag), F.when(F.size(hits) > 1, "ambiguous_enum")), lambda f: f.isNotNull() & (f != ""))
@@ -57,6 +64,12 @@ def pointer(path: Column) -> Column:
     return F.when(path == "", F.array().cast("array<string>")).otherwise(parts)
 
 
+def parent_paths(path: Column) -> Column:
+    """A pointer and those of all that it lies in, the innermost first."""
+    raw = F.split(path, "/")
+    return F.when(path == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.size(raw) - 1, F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(raw, 1, n + 1), "/")))
+
+
 def score(flags: Column) -> Column:
     weights = F.create_map(*(F.lit(x) for pair in WEIGHTS.items() for x in pair))
     return F.aggregate(flags, F.lit(0), lambda a, f: a + F.coalesce(weights[f], F.lit(UNKNOWN_WEIGHT)))

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from mendframe.kernel import coerce as C
 from mendframe.kernel import patch as P
 from mendframe.kernel.candidates import candidates
-from mendframe.schema import Kind, error_paths
+from mendframe.plans.extract import ask
+from mendframe.schema import Kind, dumps, error_paths
 from mendframe.sources.providers import Provider
 
 
@@ -21,50 +22,61 @@ def patch_prompt(kind: Kind, doc: object, paths: list[str], error: str) -> str:
     return "\n".join([f"The document doesn't fit its schema: {error}", f"Schema: {json.dumps(schema)}", f"Document: {json.dumps(P.slice_doc(doc, paths), ensure_ascii=False)}", f"Wrong: {', '.join(paths)}", "Answer with JSON patch operations (add, replace)."])
 
 
-def repair_one(text: str, provider: Provider, kind: Kind, policy: P.Policy, max_attempts: int) -> tuple[C.Scored | None, int, str | None]:
-    """(result, attempts, error): parse; while it fails, ask, and take the answer
-    as patches of what was read, or else as the value itself."""
-    try:
-        return C.parse(text, kind), 0, None
-    except (ValueError, RecursionError) as e:
-        error = str(e)
-    try:
-        doc = candidates(text)[0].value
-    except (ValueError, RecursionError):
-        doc = {}
-    for attempt in range(1, max_attempts + 1):
-        said = provider.infer([patch_prompt(kind, doc, error_paths(doc, kind), error)])[0]
+def repair_all(texts: list[str | None], provider: Provider, kind: Kind, policy: P.Policy, max_attempts: int, batch_length: int) -> list[dict]:
+    """{value, attempts, error} of each text: parse; while it fails, ask (about all
+    that failed together), and take an answer as patches of what was read, or else
+    as the value itself."""
+    rows = []
+    for text in texts:
+        row = {"value": None, "attempts": 0, "error": None, "doc": {}}
+        rows.append(row)
+        if text is None:
+            row["error"] = "no text"
+            continue
         try:
-            patched = P.apply_patch(doc, P.normalize_patches(said), policy)
-            doc = patched
-            return C.coerce_value(patched, kind), attempt, None
-        except ValueError as e:
-            error = str(e)
+            row["value"] = C.parse(text, kind)
+            continue
+        except (ValueError, RecursionError) as e:
+            row["error"] = str(e)
         try:
-            return C.parse(said, kind), attempt, None
+            row["doc"] = candidates(text)[0].value
         except (ValueError, RecursionError):
             pass
-    return None, max_attempts, error
+    open_ = [r for r, t in zip(rows, texts, strict=True) if t is not None and r["value"] is None]
+    for _ in range(max_attempts):
+        said = ask(provider, [patch_prompt(kind, r["doc"], error_paths(r["doc"], kind), r["error"]) for r in open_], batch_length)
+        for r, x in zip(open_, said, strict=True):
+            r["attempts"] += 1
+            try:
+                r["doc"] = P.apply_patch(r["doc"], P.normalize_patches(x), policy)
+                r["value"] = C.coerce_value(r["doc"], kind)
+            except ValueError as e:
+                r["error"] = str(e)
+                try:
+                    r["value"] = C.parse(x, kind)
+                except (ValueError, RecursionError):
+                    continue
+            r["error"] = None
+        open_ = [r for r in open_ if r["value"] is None]
+    return rows
 
 
-def repair(df: DataFrame, provider: Provider, kind: Kind, id_col: str = "id", text_col: str = "text", policy: P.Policy = P.Policy(), max_attempts: int = 3) -> DataFrame:
+def repair(df: DataFrame, provider: Provider, kind: Kind, id_col: str = "id", text_col: str = "text", policy: P.Policy = P.Policy(), max_attempts: int = 3, batch_length: int = 4) -> DataFrame:
     """(id, value_json, flags, score, attempts, error) of each row; rows that
     parse cost nothing, the others a bounded number of questions."""
     more = T._parse_datatype_string("value_json string, flags array<string>, score int, attempts int, error string")
 
     def run(batches):
         for batch in batches:
-            rows = [(None, 0, "no text") if t is None else repair_one(t, provider, kind, policy, max_attempts) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([r and json.dumps(r.value, ensure_ascii=False) for r, _, _ in rows], pa.string()),
-                    pa.array([r and list(r.flags) for r, _, _ in rows], pa.list_(pa.string())),
-                    pa.array([r and r.score for r, _, _ in rows], pa.int32()),
-                    pa.array([n for _, n, _ in rows], pa.int32()),
-                    pa.array([e for _, _, e in rows], pa.string()),
-                ],
-                names=[id_col, *more.names],
-            )
+            rows = repair_all(batch.column(1).to_pylist(), provider, kind, policy, max_attempts, batch_length)
+            values = [r["value"] for r in rows]
+            columns = [
+                pa.array([v and dumps(v.value) for v in values], pa.string()),
+                pa.array([v and list(v.flags) for v in values], pa.list_(pa.string())),
+                pa.array([v and v.score for v in values], pa.int32()),
+                pa.array([r["attempts"] for r in rows], pa.int32()),
+                pa.array([r["error"] for r in rows], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, *more.names])
 
     return df.select(id_col, text_col).mapInArrow(run, T.StructType([df.schema[id_col], *more.fields]))

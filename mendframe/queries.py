@@ -69,7 +69,7 @@ CORRUPTIONS = {
     "fenced": ('Here it is:\n```json\n{"id": %s, "price": %s, "status": "%s"}\n```', "markdown", 0),
     "prose": ('The order is {"id": %s, "price": %s, "status": "%s"} as you asked.', "grepped_json", 0),
     "wrong_case": ('{"ID": %s, "Price": %s, "status": "%s"}', "key_normalized,key_normalized", 6),
-    "strings": ('{"id": "no. %s", "price": "$%s", "status": "%s"}', "string_to_int,string_to_float", 2),
+    "strings": ('{"id": "no. %s", "price": "$%s", "status": "%s"}', "string_to_float,string_to_float", 2),
 }
 
 
@@ -205,9 +205,9 @@ def best_candidate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(kernel, "o_orderkey").select("o_orderkey", price.alias("price"), best["score"].cast("long").alias("score"), ((price == F.col("r.value.price")) & (best["score"] == F.col("r.score"))).alias("same"))
 
 
-@query("SELECT o_orderkey, CAST(count(*) AS BIGINT) AS n FROM orders, (VALUES (1), (2), (3)) t GROUP BY o_orderkey")
+@query("SELECT o_orderkey, CAST(count(*) AS BIGINT) AS n FROM orders, (VALUES (1), (2), (3), (4)) t GROUP BY o_orderkey")
 def candidate_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prose with one object reads as the object, its repair, and itself."""
+    """Prose with one object is no JSON itself; it reads as the object, its repair, and a string."""
     df = wide(spark, sf_dir, "orders").select("o_orderkey", F.explode(M.parse_candidates(corrupted("prose"), ORDER)).alias("c"))
     return df.groupBy("o_orderkey").agg(F.count("*").alias("n"))
 
@@ -339,10 +339,10 @@ def align_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "doc_id", native.exact_align(F.col("text"), F.col("value")).alias("s")).where("s is not null").select("item_id", "doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
 
 
-@query("SELECT doc_id, 'exact' AS verbatim, CAST(strpos(text, split_part(text, ' ', 2)) - 1 AS BIGINT) AS start FROM documents WHERE length(split_part(text, ' ', 2)) > 3 AND regexp_full_match(split_part(text, ' ', 2), '[a-z]+')")
+@query("SELECT doc_id, CASE WHEN word <> '' THEN 'exact' END AS verbatim, CAST(CASE WHEN word <> '' THEN strpos(text, word) - 1 END AS BIGINT) AS start FROM (SELECT *, split_part(text, ' ', 2) AS word FROM documents)")
 def align_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = wide(spark, sf_dir, "documents").withColumn("w", F.split_part("text", F.lit(" "), F.lit(2))).where("length(w) > 3 and w rlike '^[a-z]+$'")
-    df = df.select("doc_id", M.align("text", "w").alias("a"))
+    """The second word of every document in its text (null where there is none)."""
+    df = wide(spark, sf_dir, "documents").select("doc_id", M.align("text", F.nullif(F.split_part("text", F.lit(" "), F.lit(2)), F.lit(""))).alias("a"))
     return df.select("doc_id", F.col("a.status").alias("verbatim"), F.col("a.start").cast("long").alias("start"))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import decimal
+import json
+import math
 import re
 from dataclasses import dataclass
 from enum import Enum
@@ -29,24 +33,28 @@ class Invalid(ValueError):
 
 @dataclass(frozen=True)
 class Kind:
-    """A type: int, float, str, bool, any, enum, list, dict, or struct."""
+    """A type: int, float, str, bool, any, enum, list, dict, struct, union, tuple,
+    datetime, date, decimal or bytes."""
 
     name: str
     item: Kind | None = None
     fields: tuple[Field, ...] = ()
     domain: tuple[str, ...] = ()
+    variants: tuple[Kind, ...] = ()
+    key: Kind | None = None
     strict: bool = False
     optional: bool = False
     extra: bool = False
 
     def spark(self) -> T.DataType:
-        simple = {"int": T.LongType(), "float": T.DoubleType(), "str": T.StringType(), "bool": T.BooleanType(), "any": T.StringType(), "enum": T.StringType()}
-        if self.name in simple:
-            return simple[self.name]
+        if self.name in SPARK:
+            return SPARK[self.name]
         if self.name == "list":
             return T.ArrayType(self.item.spark())
         if self.name == "dict":
-            return T.MapType(T.StringType(), self.item.spark())
+            return T.MapType(self.key.spark() if self.key else T.StringType(), self.item.spark())
+        if self.name == "tuple":
+            return T.StructType([T.StructField(f"_{k + 1}", v.spark()) for k, v in enumerate(self.variants)])
         return T.StructType([T.StructField(f.name, f.kind.spark()) for f in self.fields])
 
     def json_schema(self) -> dict:
@@ -58,7 +66,13 @@ class Kind:
             return {"type": "array", "items": self.item.json_schema()}
         if self.name == "dict":
             return {"type": "object", "additionalProperties": self.item.json_schema()}
-        return {} if self.name == "any" else {"type": {"int": "integer", "float": "number", "str": "string", "bool": "boolean"}[self.name]}
+        if self.name == "union":
+            return {"anyOf": [v.json_schema() for v in self.variants]}
+        if self.name == "tuple":
+            return {"type": "array", "prefixItems": [v.json_schema() for v in self.variants], "minItems": len(self.variants), "maxItems": len(self.variants)}
+        if self.name in ("datetime", "date", "bytes"):
+            return {"type": "string", "format": {"datetime": "date-time", "date": "date", "bytes": "binary"}[self.name]}
+        return {} if self.name == "any" else {"type": {"int": "integer", "float": "number", "str": "string", "bool": "boolean", "decimal": "number"}[self.name]}
 
     def partial(self) -> Kind:
         """The type of a value that is still being written: nothing is required."""
@@ -74,7 +88,10 @@ class Field:
     aliases: tuple[str, ...] = ()
 
 
+#: Values of several types are JSON text; numbers of exact decimals have 18 behind the point.
+SPARK = {"int": T.LongType(), "float": T.DoubleType(), "str": T.StringType(), "bool": T.BooleanType(), "any": T.StringType(), "enum": T.StringType(), "union": T.StringType(), "datetime": T.TimestampType(), "date": T.DateType(), "decimal": T.DecimalType(38, 18), "bytes": T.BinaryType()}
 INT, FLOAT, STR, BOOL, ANY = (Kind(k) for k in ("int", "float", "str", "bool", "any"))
+DATETIME, DATE, DECIMAL, BYTES = (Kind(k) for k in ("datetime", "date", "decimal", "bytes"))
 STRICT_INT, STRICT_FLOAT, STRICT_BOOL = (Kind(k, strict=True) for k in ("int", "float", "bool"))
 
 
@@ -86,8 +103,30 @@ def list_of(item: Kind) -> Kind:
     return Kind("list", item)
 
 
-def dict_of(item: Kind) -> Kind:
-    return Kind("dict", item)
+def dict_of(item: Kind, key: Kind | None = None) -> Kind:
+    """``key`` is for keys other than strings."""
+    return Kind("dict", item, key=None if key == STR else key)
+
+
+def union(*variants: Kind) -> Kind:
+    """The variant that fits as it is, else the first that fits leniently."""
+    return Kind("union", variants=variants)
+
+
+def tuple_of(*items: Kind) -> Kind:
+    """A list of a fixed length, each place with its own type."""
+    return Kind("tuple", variants=items)
+
+
+def dumps(value: Any) -> str:
+    """JSON text of a validated value: times as ISO-8601, exact numbers and bytes as text."""
+
+    def plain(x: Any) -> str:
+        if isinstance(x, (dt.datetime, dt.date)):
+            return x.isoformat().replace("+00:00", "Z")
+        return x.decode("utf-8", "replace") if isinstance(x, bytes) else str(x)
+
+    return json.dumps(value, ensure_ascii=False, default=plain)
 
 
 def optional(kind: Kind) -> Kind:
@@ -113,12 +152,13 @@ def from_spark(kind: T.DataType) -> Kind:
     if isinstance(kind, T.ArrayType):
         return list_of(from_spark(kind.elementType))
     if isinstance(kind, T.MapType):
-        return dict_of(from_spark(kind.valueType))
+        return dict_of(from_spark(kind.valueType), from_spark(kind.keyType))
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return INT
-    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
         return FLOAT
-    return BOOL if isinstance(kind, T.BooleanType) else STR
+    others = ((T.BooleanType, BOOL), ((T.TimestampType, T.TimestampNTZType), DATETIME), (T.DateType, DATE), (T.DecimalType, DECIMAL), (T.BinaryType, BYTES), (T.VariantType, ANY))
+    return next((k for t, k in others if isinstance(kind, t)), STR)
 
 
 #: The words that a lax bool takes.
@@ -141,7 +181,20 @@ def validate(value: Any, kind: Kind, path: str = "", by_name: bool = True) -> An
     if name == "dict":
         if not isinstance(value, dict):
             raise Invalid("not an object", path)
-        return {str(k): validate(v, kind.item, f"{path}/{k}", by_name) for k, v in value.items()}
+        return {validate(k, kind.key, path) if kind.key else str(k): validate(v, kind.item, f"{path}/{k}", by_name) for k, v in value.items()}
+    if name == "tuple":
+        if not isinstance(value, (list, tuple)) or len(value) != len(kind.variants):
+            raise Invalid(f"not a list of {len(kind.variants)}", path)
+        return tuple(validate(v, k, f"{path}/{i}", by_name) for i, (v, k) in enumerate(zip(value, kind.variants, strict=True)))
+    if name == "union":
+        return _union(value, kind, path, by_name)
+    if name in MORE:
+        if isinstance(value, MADE[name]):  # converted already
+            return value
+        try:
+            return MORE[name](value)
+        except (ValueError, TypeError, OverflowError, ArithmeticError, OSError):
+            raise Invalid(f"not a {name}", path) from None
     if name == "enum":
         if isinstance(value, str) and value in kind.domain:
             return value
@@ -153,6 +206,58 @@ def validate(value: Any, kind: Kind, path: str = "", by_name: bool = True) -> An
     return _scalar(value, kind, path)
 
 
+def _union(value: Any, kind: Kind, path: str, by_name: bool) -> Any:
+    """The variant whose own type the value has, else the first that takes it."""
+    own = {"int": int, "float": float, "str": str, "bool": bool, "list": list, "tuple": list, "dict": dict, "struct": dict, "enum": str}
+    exact = [v for v in kind.variants if v.name in own and type(value) is own[v.name]]
+    for variant in (*exact, *(v for v in kind.variants if v not in exact)):
+        try:
+            return validate(value, variant, path, by_name)
+        except Invalid:
+            continue
+    raise Invalid("fits no variant", path)
+
+
+def _datetime(value: Any) -> dt.datetime:
+    """ISO-8601 text or Unix seconds (milliseconds beyond 2e10); without a zone, UTC."""
+    if isinstance(value, str):
+        text = value.strip()
+        try:
+            value = float(text)
+        except ValueError:
+            found = dt.datetime.fromisoformat(text)
+            return found if found.tzinfo else found.replace(tzinfo=dt.UTC)
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value):
+        raise ValueError(value)
+    return dt.datetime.fromtimestamp(value / 1000 if abs(value) > 2e10 else value, dt.UTC)
+
+
+def _date(value: Any) -> dt.date:
+    found = _datetime(value)
+    if found.timetz().replace(tzinfo=None) != dt.time():
+        raise ValueError(value)
+    return found.date()
+
+
+def _decimal(value: Any) -> decimal.Decimal:
+    if isinstance(value, bool) or not isinstance(value, (int, float, str)):
+        raise TypeError(value)
+    found = decimal.Decimal(str(value).strip())
+    if not found.is_finite() or found.adjusted() > 19 or found.as_tuple().exponent < -18:
+        raise ValueError(value)
+    return found
+
+
+def _bytes(value: Any) -> bytes:
+    if not isinstance(value, str):
+        raise TypeError(value)
+    return value.encode()
+
+
+MORE = {"datetime": _datetime, "date": _date, "decimal": _decimal, "bytes": _bytes}
+MADE = {"datetime": dt.datetime, "date": dt.date, "decimal": decimal.Decimal, "bytes": bytes}
+
+
 def _scalar(value: Any, kind: Kind, path: str) -> Any:
     name = kind.name
     is_bool, is_number = isinstance(value, bool), isinstance(value, (int, float)) and not isinstance(value, bool)
@@ -240,14 +345,17 @@ def from_pydantic(annotation: Any) -> Kind:
         return Kind(**{**kind.__dict__, "strict": True}) if any(getattr(m, "strict", False) for m in args[1:]) else kind
     if origin in (typing.Union, types.UnionType):
         some = [a for a in args if a is not type(None)]
-        return optional(from_pydantic(some[0])) if len(some) < len(args) and len(some) == 1 else ANY
+        kind = from_pydantic(some[0]) if len(some) == 1 else union(*map(from_pydantic, some))
+        return optional(kind) if len(some) < len(args) else kind
     if origin is typing.Literal:
         return enum(*map(str, args))
     if origin in (list, set, frozenset) or (origin is tuple and len(args) == 2 and args[1] is Ellipsis):
         return list_of(from_pydantic(args[0]))
+    if origin is tuple:
+        return tuple_of(*map(from_pydantic, args))
     if origin is dict:
-        return dict_of(from_pydantic(args[1]))
-    simple = {int: INT, float: FLOAT, str: STR, bool: BOOL, list: list_of(ANY), dict: dict_of(ANY)}
+        return dict_of(from_pydantic(args[1]), from_pydantic(args[0]))
+    simple = {int: INT, float: FLOAT, str: STR, bool: BOOL, list: list_of(ANY), dict: dict_of(ANY), dt.datetime: DATETIME, dt.date: DATE, decimal.Decimal: DECIMAL, bytes: BYTES}
     if annotation in simple:
         return simple[annotation]
     if isinstance(annotation, type) and issubclass(annotation, Enum):
@@ -266,7 +374,7 @@ def from_pydantic(annotation: Any) -> Kind:
 
 
 #: DDL names of scalar types.
-DDL = {"tinyint": INT, "smallint": INT, "int": INT, "integer": INT, "bigint": INT, "long": INT, "float": FLOAT, "double": FLOAT, "boolean": BOOL, "string": STR, "variant": ANY}
+DDL = {"tinyint": INT, "smallint": INT, "int": INT, "integer": INT, "bigint": INT, "long": INT, "float": FLOAT, "double": FLOAT, "boolean": BOOL, "string": STR, "variant": ANY, "timestamp": DATETIME, "timestamp_ntz": DATETIME, "timestamp_ltz": DATETIME, "date": DATE, "decimal": DECIMAL, "numeric": DECIMAL, "binary": BYTES}
 
 
 def from_ddl(ddl: str) -> Kind:
@@ -292,10 +400,11 @@ def _ddl_type(text: str) -> Kind:
     if head == "array":
         return list_of(_ddl_type(inside))
     if head == "map":
-        return dict_of(_ddl_type(inside.partition(",")[2]))
+        key, _, value = inside.partition(",")
+        return dict_of(_ddl_type(value), _ddl_type(key))
     if head == "struct":
         return from_ddl(inside)
     name = text.lower().partition("(")[0].split()[0]
-    if name == "decimal":
-        return FLOAT
+    if name not in DDL:
+        raise ValueError(f"no such type: {name!r}")
     return DDL[name]

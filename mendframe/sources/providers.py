@@ -47,3 +47,11 @@ class Registry:
             if re.search(pattern, model):
                 return make()
         raise KeyError(f"no provider for {model!r}")
+
+    def by_class(self, name: str) -> Provider:
+        """The provider whose class's name holds ``name``, in any case."""
+        for _, _, make in sorted(self.entries, key=lambda e: -e[0]):
+            made = make()
+            if name.lower() in type(made).__name__.lower():
+                return made
+        raise KeyError(f"no provider class {name!r}")

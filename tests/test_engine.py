@@ -10,7 +10,7 @@ from mendframe.functions.sql import register
 from mendframe.kernel.patch import Policy
 from mendframe.plans import extract as E
 from mendframe.plans.repair import repair
-from mendframe.schema import FLOAT, INT, STR, Field, dict_of, enum, list_of, struct
+from mendframe.schema import DECIMAL, FLOAT, INT, STR, Field, dict_of, enum, from_ddl, list_of, struct, tuple_of, union
 from mendframe.sources.providers import Calling, Registry, Static
 from mendframe.streaming.parser import parse_stream
 
@@ -36,7 +36,7 @@ def test_nested_values(spark):
 def test_sql_functions(spark):
     register(spark)
     spark.createDataFrame([(1, 'see {"a": 1} ok')], "id int, t string").createOrReplaceTempView("texts")
-    assert spark.sql("SELECT idx, score FROM texts, LATERAL parse_debug(t, 'a INT')").count() == 3
+    assert spark.sql("SELECT idx, score FROM texts, LATERAL parse_debug(t, 'a INT')").count() == 4
     assert spark.sql("SELECT schema_parse(t, 'a INT') FROM texts").first()[0] == '{"a": 1}'
     assert spark.sql("SELECT * FROM texts, LATERAL text_tokens(t)").count() == 7
     assert spark.sql("SELECT * FROM texts, LATERAL text_chunks(t, 4, 0)").count() >= 3
@@ -56,6 +56,21 @@ def test_extraction(spark):
     assert out["d1"].value_json == '[{"name": "Ann", "n": 3}, {"name": "Bob", "n": 4}]'
     assert [(e.value_preview, e.start, e.end) for e in out["d1"].evidence] == [("Ann", 0, 3), ("3", 8, 9), ("Bob", 16, 19), ("4", 24, 25)]
     assert out["d2"].value_json is None and set(out) == {"d1", "d2", "d3"}
+    assert out["d1"].raw_text == "[{name: Bob, n: 4}]" and out["d3"].error == "no text"
+
+
+def test_extraction_keeps_repeated_and_null_ids_apart(spark):
+    docs = spark.createDataFrame([(1, "Ann has 3 cats."), (1, "Bob has 4 dogs."), (None, "Cid has 5 cows."), (None, None)], "document_id int, text string")
+
+    def answer(asked):
+        w = asked.rsplit("\nQ: ", 1)[1].split()
+        return f"{{name: {w[0]}, n: {w[2]}}}"
+
+    options = E.ExtractOptions(passes=2, debug=True, format="yaml", wrapper_key="rows", context="pets", examples=(("Zoe has 1 pig", '[{"name": "Zoe", "n": 1}]'),))
+    rows = E.Extractor(Calling(answer), ITEM, options).extract(docs).collect()
+    assert sorted((str(r.document_id), str(r.value_json)) for r in rows) == [("1", '{"name": "Ann", "n": 3}'), ("1", '{"name": "Bob", "n": 4}'), ("None", "None"), ("None", '{"name": "Cid", "n": 5}')]
+    one = next(r for r in rows if r.value_json and "Ann" in r.value_json)
+    assert [(d["pass"], d.text_preview) for d in one.debug] == [(0, "Ann has 3 cats."), (1, "Ann has 3 cats.")] and "```yaml\nrows:\n- name: Zoe" in one.prompt_preview and "Context: pets" in one.prompt_preview
 
 
 def test_examples_are_checked():
@@ -63,6 +78,49 @@ def test_examples_are_checked():
     assert E.check_examples(ITEM, E.ExtractOptions(examples=(good,))) == []
     assert len(E.check_examples(ITEM, E.ExtractOptions(examples=(bad, ("x", "{}"))))) == 3
     assert "Q: Ann is 3" in E.prompt(ITEM, E.ExtractOptions(examples=(good,)))
+    with pytest.raises(ValueError, match="text"):
+        E.check_examples(ITEM, E.ExtractOptions(examples=(bad,), check="error"))
+    with pytest.warns(UserWarning, match="text"):
+        E.check_examples(ITEM, E.ExtractOptions(examples=(bad,), check="warning"))
+
+
+def test_rows_of_an_update_are_asked_about_together(spark):
+    asked = []
+
+    class Counting:
+        def infer(self, prompts):
+            asked.append(len(prompts))
+            return [('[{"op": "add", "path": "/n", "value": 2}]' if "failed" in p else "nothing") for p in prompts]
+
+    from mendframe.plans.repair import repair_all
+
+    rows = repair_all(['{"name": "a"}', '{"n": 1}', None, '{"n": 2}', "x"], Static(('[{"op": "add", "path": "/name", "value": "y"}]',)), ITEM, Policy(), 2, 8)
+    assert [r["attempts"] for r in rows] == [0, 1, 0, 1, 2] and rows[2]["error"] == "no text" and rows[4]["value"] is None and rows[1]["error"] is None
+    docs = spark.createDataFrame([(k, '{"name": "a"}') for k in range(5)] + [(9, None)], "doc_id int, doc_json string").coalesce(1)
+    out = E.update(docs, "x", Counting(), ITEM, batch_length=5).collect()
+    assert [(r.attempts, r.value_json) for r in out] == [(2, '{"name": "a", "n": 2}')] * 5 + [(0, None)] and {r.before for r in out} == {'{"name": "a"}', None}
+
+
+def test_malformed_rows(spark):
+    df = spark.createDataFrame([(1, "{name: x}"), (2, "{n: 1}"), (3, None)], "id int, t string")
+    assert [r.id for r in E.parsed(df, "t", ITEM, mode="DROPMALFORMED").collect()] == [1]
+    assert [(r.id, r.value and r.value.name) for r in E.parsed(df, "t", ITEM).collect()] == [(1, "x"), (2, None), (3, None)]
+    with pytest.raises(Exception, match="name"):
+        E.parsed(df, "t", ITEM, mode="FAILFAST").collect()
+
+
+def test_times_unions_tuples_and_exact_numbers(spark):
+    import datetime as dt
+    import decimal
+
+    kind = from_ddl("at TIMESTAMP, day DATE, price DECIMAL(10,2), raw BINARY, n MAP<INT, STRING>")
+    df = spark.createDataFrame([('{at: "2024-05-06T07:08:09Z", day: "2024-05-06", price: "12.34", raw: "ab", n: {"1": "x"}}',), ('{"at": "soon"}',)], "t string")
+    a, b = (r.r for r in df.select(M.parse("t", kind).alias("r")).collect())
+    assert (a.value.at.astimezone(dt.UTC), a.value.day, a.value.price, bytes(a.value.raw), a.value.n) == (dt.datetime(2024, 5, 6, 7, 8, 9, tzinfo=dt.UTC), dt.date(2024, 5, 6), decimal.Decimal("12.34"), b"ab", {1: "x"})
+    assert b.value is None and b.error
+    kind = struct(Field("v", union(INT, STR)), Field("p", tuple_of(INT, enum("a", "b"))))
+    df = spark.createDataFrame([('{"v": "42", "p": [1, "a"]}',), ('{"v": 42, "p": ["2", "b"]}',)], "t string")
+    assert [(r.r.value.v, r.r.value.p._1, r.r.value.p._2) for r in df.select(M.parse("t", kind).alias("r")).collect()] == [('"42"', 1, "a"), ("42", 2, "b")]
 
 
 def test_update_and_repair(spark):
@@ -157,6 +215,4 @@ def test_enum_domain_metadata():
 
 
 def test_ddl():
-    from mendframe.schema import from_ddl
-
-    assert from_ddl("a INT, `b` ARRAY<STRUCT<c: STRING, d: MAP<STRING, DOUBLE>>>, e DECIMAL(10,2)") == struct(Field("a", INT), Field("b", list_of(struct(Field("c", STR), Field("d", dict_of(FLOAT))))), Field("e", FLOAT))
+    assert from_ddl("a INT, `b` ARRAY<STRUCT<c: STRING, d: MAP<STRING, DOUBLE>>>, e DECIMAL(10,2)") == struct(Field("a", INT), Field("b", list_of(struct(Field("c", STR), Field("d", dict_of(FLOAT))))), Field("e", DECIMAL))
