@@ -9,12 +9,14 @@ whose word sequence starts anywhere else takes its words with it.
    settled: all its windows are repeats.  That is the inside of every recurring
    passage, at one row for some fourteen windows.
 3. *Automata.*  What is left are the picks at the edges, and one representative
-   of each settled run of the same phrase.  Each shard of the documents with
-   such picks compiles its phrases into an Aho-Corasick automaton over word
-   numbers and streams its documents through it, which locates the occurrences;
-   their windows are hashed whole (128 bits) and counted over the corpus.
+   of each settled run of the same phrase.  Each shard of the documents that hold
+   such picks compiles its phrases into an Aho-Corasick automaton over coded words
+   and streams its documents through it.  The hits choose the windows: every window
+   that holds a hit is hashed whole (128 bits) and counted over the corpus.
 4. *Removal.*  The repeats' runs come back to their documents.
 
+A window's words decide which phrase is picked in it, so equal windows anywhere
+hold the same phrase, and a window that holds no recurring phrase is no repeat.
 Hashes of phrases only ever add candidates.  A passage that very many documents
 hold is one hot key: counts are aggregated before they are shuffled, and both
 sides of the joins are written tables, so that its rows can be split over tasks.
@@ -95,12 +97,13 @@ def stretches(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 def _picks(docs: DataFrame, width: int, phrase: int) -> DataFrame:
-    """(id, row, phrase, run, start, windows): each pick of each text; it owns
-    ``windows`` windows from ``start`` on, and ``run`` is the hash of all their words."""
+    """(id, row, phrase, run, start, windows, at): each pick of each text; it owns
+    ``windows`` windows from ``start`` on, ``run`` is the hash of all their words,
+    and the phrase itself begins ``at`` words behind ``start``."""
 
     def make():
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            columns: list[list[np.ndarray]] = [[], [], [], []]
+            columns: list[list[np.ndarray]] = [[], [], [], [], []]
             sizes = []
             for text in batch.column(2).to_pylist():
                 h = word_hashes(words_of(text))
@@ -111,23 +114,26 @@ def _picks(docs: DataFrame, width: int, phrase: int) -> DataFrame:
                 own = owners(grams, width - phrase + 1)
                 starts = np.concatenate([[0], np.nonzero(np.diff(own))[0] + 1])
                 windows = np.diff(np.concatenate([starts, [len(own)]]))
-                for c, x in zip(columns, (grams[own[starts]].view(np.int64), stretches(h, starts, starts + windows + width - 1).view(np.int64), starts.astype(np.int32), windows.astype(np.int32)), strict=True):
+                for c, x in zip(columns, (grams[own[starts]].view(np.int64), stretches(h, starts, starts + windows + width - 1).view(np.int64), starts.astype(np.int32), windows.astype(np.int32), (own[starts] - starts).astype(np.int32)), strict=True):
                     c.append(x)
                 sizes.append(len(starts))
             row = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            kinds = (np.int64, np.int64, np.int32, np.int32)
-            return pa.record_batch([batch.column(0).take(row), batch.column(1).take(row), *(pa.array(np.concatenate([np.empty(0, k), *c])) for c, k in zip(columns, kinds, strict=True))], names=["id", "row", "phrase", "run", "start", "windows"])
+            kinds = (np.int64, np.int64, np.int32, np.int32, np.int32)
+            return pa.record_batch([batch.column(0).take(row), batch.column(1).take(row), *(pa.array(np.concatenate([np.empty(0, k), *c])) for c, k in zip(columns, kinds, strict=True))], names=["id", "row", "phrase", "run", "start", "windows", "at"])
 
         return turn
 
-    return docs.mapInArrow(by_batch(make), "id long, row long, phrase long, run long, start int, windows int")
+    return docs.mapInArrow(by_batch(make), "id long, row long, phrase long, run long, start int, windows int, at int")
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, list[bytes], list[dict]]]]:
-    """Bounded groups of (id, row, words, picks)."""
-    shard, size = [], 0
+    """Bounded groups of (id, row, words, picks); a repeated row is taken once."""
+    shard, size, last = [], 0, None
     for batch in batches:
         for id_, row, text, picks in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if (id_, row) == last:
+                continue
+            last = (id_, row)
             w = words_of(text)
             shard.append((id_, row, w, picks))
             size += len(w)
@@ -138,32 +144,51 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int,
         yield shard
 
 
+class Phrases:
+    """An automaton that finds phrases of words.  A word is a code of ``CODE``
+    letters out of 256, since a node's children are searched one by one."""
+
+    CODE = 3
+
+    def __init__(self, phrases: Iterator[list[bytes]]):
+        self.codes: dict[bytes, str] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in phrases:
+            self.automaton.add_word("".join([self._code(w) for w in p]))
+        self.automaton.make_automaton()
+
+    def _code(self, word: bytes) -> str:
+        code = self.codes.get(word)
+        if code is None:
+            n = len(self.codes) + 1
+            code = self.codes[word] = "".join(chr(n >> 8 * k & 255) for k in range(self.CODE))
+        return code
+
+    def ends(self, words: list[bytes]) -> np.ndarray:
+        """The places of the words that a phrase ends with."""
+        if not self.automaton:
+            return np.empty(0, dtype=np.int64)
+        code, unknown = self.codes.get, chr(0) * self.CODE
+        found = np.fromiter((end for end, _ in self.automaton.iter("".join([code(w, unknown) for w in words]))), np.int64)
+        return found[found % self.CODE == self.CODE - 1] // self.CODE  # others begin inside a word's code
+
+
 def _located(shard: list, width: int, phrase: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(id, row, word hashes, starts of windows, their votes) of each document:
-    the shard's phrases, compiled, locate their occurrences; of the windows
-    around them, those that a listed pick owns are kept."""
-    number: dict[bytes, int] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    texts = []
-    for _, _, w, picks in shard:
-        h = word_hashes(w)
-        ids = tuple([number.setdefault(x, len(number) + 1) for x in w])
-        texts.append((h, ids))
-        wanted = np.array([p["phrase"] for p in picks], dtype=np.int64).view(np.uint64)
-        for at in np.nonzero(np.isin(rolling(h, phrase, MIX), wanted))[0].tolist():
-            automaton.add_word(ids[at : at + phrase])
-    automaton.make_automaton()
-    for (id_, row, w, picks), (h, ids) in zip(shard, texts, strict=True):
+    the windows that hold a hit of the shard's automaton.  Those of a settled run
+    vote twice."""
+    automaton = Phrases(w[at : at + phrase] for _, _, w, picks in shard for p in picks for at in [p["start"] + p["at"]])
+    for id_, row, w, picks in shard:
         n = len(w) - width + 1
-        ends = np.fromiter((end for end, _ in automaton.iter(ids)), np.int64)
+        ends = automaton.ends(w)
         marks = np.zeros(n + 1, dtype=np.int32)
         np.add.at(marks, np.clip(ends - width + 1, 0, n), 1)  # windows that hold the phrase whole
         np.add.at(marks, np.clip(ends - phrase + 2, 0, n), -1)
-        votes = np.zeros(n, dtype=np.int32)
+        votes = np.ones(n, dtype=np.int32)
         for p in picks:
             votes[p["start"] : p["start"] + p["windows"]] = p["votes"]
-        starts = np.nonzero((np.cumsum(marks[:n]) > 0) & (votes > 0))[0]
-        yield id_, row, h, starts, votes[starts]
+        starts = np.flatnonzero(np.cumsum(marks[:n]) > 0)
+        yield id_, row, word_hashes(w), starts, votes[starts]
 
 
 def _windows(joined: DataFrame, width: int, phrase: int) -> DataFrame:
@@ -207,7 +232,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are runs without ASCII white space, compared as they are; a window is
     ``width`` consecutive words.  Null texts have no words; null ids are ids
     like any other; a repeated row is another occurrence of its windows; an
-    empty table gives an empty one; other columns are not looked at.
+    empty table gives an empty one; other columns are not looked at; a text is
+    read whole, whatever its length.
     """
     if not 1 <= phrase <= width:
         raise ValueError("a phrase must fit into a window")
@@ -217,14 +243,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     recurring = cut(picks.groupBy("phrase").agg(F.count("*").alias("n")).where("n > 1").select("phrase"), "phrases")
     again = cut(picks.join(recurring, "phrase"), "recurring")
     # a run that occurs again is settled; one of its picks votes for it, twice
-    first = F.min(F.struct("id", "row", "start", "windows")).alias("one")
+    first = F.min(F.struct("id", "row", "start", "windows", "at")).alias("one")
     runs = cut(again.groupBy("phrase", "run").agg(F.count("*").alias("n"), first), "runs")
     open_ = cut(runs.where("n = 1").select("phrase").distinct(), "open")
     voters = runs.join(open_, "phrase", "left_semi").select("phrase", "one.*", F.when(F.col("n") > 1, 2).otherwise(1).alias("votes"))
-    voters = voters.groupBy("id", "row").agg(F.collect_list(F.struct("phrase", "start", "windows", "votes")).alias("picks"))
+    voters = voters.groupBy("id", "row").agg(F.collect_list(F.struct("start", "windows", "at", "votes")).alias("picks"))
     windows = cut(_windows(base.join(voters, ["id", "row"]).select("id", "row", "text", "picks"), width, phrase), "windows")
     repeats = cut(windows.groupBy("high", "low").agg(F.sum("votes").alias("n")).where("n > 1").select("high", "low"), "repeats")
     edges = windows.where("votes = 1").join(repeats, ["high", "low"]).select("id", "row", "start", F.lit(1).alias("windows"))
     settled = again.join(runs.where("n > 1").select("phrase", "run"), ["phrase", "run"], "left_semi").select("id", "row", "start", "windows")
-    found = settled.unionByName(edges).groupBy("id", "row").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    # sets, since every copy of a repeated row reports the same runs
+    found = settled.unionByName(edges).groupBy("id", "row").agg(F.collect_set(F.struct("start", "windows")).alias("runs"))
     return _kept(base.join(found, ["id", "row"], "left"), width).withColumn("id", given_id("id"))

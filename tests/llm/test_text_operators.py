@@ -320,6 +320,32 @@ def test_repeated_passages_of_other_widths(spark):
         assert by_row(got) == by_row(brute_passages(pairs, width))
 
 
+def test_passages_of_many_equal_rows_and_very_long_texts(spark):
+    rng = random.Random(14)
+    text = " ".join(f"w{rng.randrange(500)}" for _ in range(400))
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000))
+    rows = [(7, text)] * 5000 + [(8, long), (9, text[:1500]), (10, "x " + " ".join(long.split()[30_000:30_050]) + " y")]
+    got = {(r.id, r.n_words, r.n_removed) for r in passages.remove_repeats(table(spark, rows)).collect()}
+    want = brute_passages([rows[0], rows[0], *rows[5000:]])
+    assert got == {w[:3] for w in want} and len(got) == 4
+
+
+def test_the_automata_hits_choose_the_windows(spark, monkeypatch):
+    rng = random.Random(15)
+    passage = " ".join(f"p{k}" for k in range(40))
+    pairs = [(k, " ".join(f"u{rng.randrange(10**6)}" for _ in range(50)) + f" {passage} end{k}") for k in range(2)]
+    # without its hits (as the tasks, in other processes, see it) nothing at the edges is found
+    docs = [(i, 0, passages.words_of(t), []) for i, t in pairs]
+    picked = [{"start": 45, "windows": 1, "at": 10, "votes": 1}]
+    with_hits = list(passages._located([(*docs[0][:3], picked), docs[1]], 35, 8))
+    assert [len(x[3]) > 0 for x in with_hits] == [True, True]  # also where no pick is listed
+    monkeypatch.setattr(passages.Phrases, "ends", lambda self, words: np.empty(0, dtype=np.int64))
+    assert [len(x[3]) for x in passages._located([(*docs[0][:3], picked), docs[1]], 35, 8)] == [0, 0]
+    monkeypatch.undo()
+    found = passages.Phrases(iter([[b"a", b"b"], [b"b", b"a"], [b"c", b"c"]]))
+    assert found.ends(b"x a b a c c c b".split()).tolist() == [2, 3, 5, 6] and passages.Phrases(iter([])).ends([b"a"]).tolist() == []
+
+
 # --- 5 Decontamination
 
 
