@@ -3,11 +3,13 @@
 Everything is built from DataFrame expressions.  One scan of the texts finds
 the base spans (email, ip, card, phone) and all runs of identifier-like tokens,
 each with the words around it; it is written without the texts.  On that small
-table the base spans are seeds, what they leave of the runs are the candidates:
-the contexts that seeds stand in become lexical patterns, a
-pattern-instance graph is scored in rounds (a pattern by the mean score of the
-instances it extracts, an instance by the noisy-or of its patterns), and
-patterns that stay reliable discover the identifiers the base has not seen.
+table the base spans are seeds, what they leave of the runs are the candidates.
+A context (words around an instance) or a context with a shape (a word beside it,
+and how it is made of digits and letters) is a lexical pattern.  Patterns and
+instances are a graph that is scored in generations: a pattern by the share of
+its instances that are trusted, an instance by the noisy-or of its accepted
+patterns; an instance that scores enough is trusted from then on, and so lends
+its own contexts to the patterns of the next generation, until nothing changes.
 """
 
 from __future__ import annotations
@@ -28,14 +30,12 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SPACES = r"[\x00-\x20\x7F]+"
-#: Code points on either side in which the words around a token are looked for.
+#: Code points on either side in which the words around a token are looked for, by default.
 CONTEXT = 120
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Longest candidate, in code points; a longer run of tokens is taken in pieces.
+#: Code points up to which neighbouring tokens are one candidate, by default.
 LONGEST = 64
 TOKEN = r"[^\x00-\x20\x7F0-9@]*+[0-9@][^\x00-\x20\x7F]*+"
-#: Tokens with a digit or @, one space apart; as many as LONGEST can hold.
-RUN = rf"(?<![^\x00-\x20\x7F]){TOKEN}(?:\x20{TOKEN}){{0,{LONGEST // 2 - 1}}}+"
 SPAN = "array<struct<start:int,end:int,hit:string>>"
 SEEN = "array<struct<start:int,end:int,hit:string,ahead:array<string>,behind:string>>"
 PLACED = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
@@ -44,6 +44,11 @@ MARK = "\uffff"
 BLOCK = 512
 
 
+def runs_of(longest: int) -> str:
+    """Tokens with a digit or @, one space apart; as many as ``longest`` can hold."""
+    return rf"(?<![^\x00-\x20\x7F]){TOKEN}(?:\x20{TOKEN}){{0,{max(0, longest // 2 - 1)}}}+"
+
+
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then(value)`` with ``value`` evaluated once, though used inside lambdas."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
@@ -59,9 +64,9 @@ def parted(text: Column, pattern: str) -> Column:
     return F.when(F.contains(text, F.lit(MARK)), slow).otherwise(marked)
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str, context: int = CONTEXT) -> Column:
     """Array of (start, end, hit, before, after) of all matches, in code points, end
-    exclusive; ``before`` and ``after`` are up to CONTEXT code points of what
+    exclusive; ``before`` and ``after`` are up to ``context`` code points of what
     stands on either side, the neighbouring match included."""
     def extent(x):
         return F.length(x["gap"]) + F.length(x["hit"])
@@ -89,8 +94,8 @@ def located(text: Column, pattern: str) -> Column:
             return F.coalesce(F.get(parts, k), F.lit(""))
 
         def pair(k):
-            before = F.substring(F.concat(*(F.substring(part(k - n), -CONTEXT, CONTEXT) for n in (3, 2, 1))), -CONTEXT, CONTEXT)
-            after = F.substring(F.concat(*(F.substring(part(k + n), 1, CONTEXT) for n in (1, 2, 3))), 1, CONTEXT)
+            before = F.substring(F.concat(*(F.substring(part(k - n), -context, context) for n in (3, 2, 1))), -context, context)
+            after = F.substring(F.concat(*(F.substring(part(k + n), 1, context) for n in (1, 2, 3))), 1, context)
             return F.struct(part(k - 1).alias("gap"), part(k).alias("hit"), before.alias("before"), after.alias("after"))
 
         pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), pair)
@@ -114,7 +119,7 @@ def luhn(card: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0
 
 
-def base_spans(text: Column) -> Column:
+def base_spans(text: Column, context: int = CONTEXT) -> Column:
     """struct of the four kinds' arrays of spans with the words around them; a
     cheap test guards each scan."""
     none, numeric = F.array().cast(SEEN), text.rlike("[0-9]")
@@ -123,7 +128,7 @@ def base_spans(text: Column) -> Column:
         return F.length(digits(x["hit"])).between(low, high)
 
     def found(when, pattern, test=None):
-        spans = located(text, pattern)
+        spans = located(text, pattern, context)
         return F.when(when, F.transform(F.filter(spans, test) if test else spans, _seen)).otherwise(none).cast(SEEN)
 
     return F.struct(
@@ -160,21 +165,21 @@ def _may_identify(hit: Column) -> Column:
     return (F.length(digits(hit)) >= 4) | F.contains(hit, F.lit("@"))
 
 
-def _runs(text: Column) -> Column:
+def _runs(text: Column, context: int, longest: int) -> Column:
     """Runs of identifier-like tokens, with the words around them."""
-    return F.when(text.rlike("[0-9@]"), F.transform(F.filter(located(text, RUN), lambda x: _may_identify(x["hit"])), _seen)).otherwise(F.array().cast(SEEN)).cast(SEEN)
+    return F.when(text.rlike("[0-9@]"), F.transform(F.filter(located(text, runs_of(longest), context), lambda x: _may_identify(x["hit"])), _seen)).otherwise(F.array().cast(SEEN)).cast(SEEN)
 
 
-def _free(run: Column, taken: Column) -> Column:
-    """What base spans leave of a run: pieces of neighbouring tokens, none longer
-    than LONGEST, each with the words around it."""
+def _free(run: Column, taken: Column, longest: int) -> Column:
+    """What base spans leave of a run: pieces of neighbouring tokens, of ``longest``
+    code points or one token, each with the words around it."""
     kind = "array<struct<start:int,end:int,i:int,j:int>>"
 
     def step(a, token):
         end = a["at"] + F.length(token)
         held = F.exists(taken, lambda t: (t["start"] < end) & (t["end"] > a["at"]))
         last = F.get(a["all"], F.size(a["all"]) - 1)
-        more = (last["j"] == a["n"] - 1) & (end - last["start"] <= LONGEST)
+        more = (last["j"] == a["n"] - 1) & (end - last["start"] <= longest)
         begun = F.concat(a["all"], F.array(F.struct(a["at"].alias("start"), end.alias("end"), a["n"].alias("i"), a["n"].alias("j"))).cast(kind))
         longer = F.concat(F.slice(a["all"], 1, F.greatest(F.lit(0), F.size(a["all"]) - 1)), F.array(F.struct(last["start"].alias("start"), end.alias("end"), last["i"].alias("i"), a["n"].alias("j"))).cast(kind))
         every = F.when(held, a["all"]).when(F.coalesce(more, F.lit(False)), longer).otherwise(begun)
@@ -190,16 +195,16 @@ def _free(run: Column, taken: Column) -> Column:
         start = F.struct(run["start"].alias("at"), F.lit(0).alias("n"), F.array().cast(kind).alias("all"))
         return F.transform(F.aggregate(tokens, start, step, lambda a: a["all"]), piece)
 
-    return F.filter(let(F.split(run["hit"], " ", -1), pieces), lambda x: (F.length(x["hit"]) <= LONGEST) & _may_identify(x["hit"]))
+    return F.filter(let(F.split(run["hit"], " ", -1), pieces), lambda x: _may_identify(x["hit"]))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT, longest: int = LONGEST) -> DataFrame:
     """(id, row, base, runs) of every row; ``row`` is the text's hash."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(known_id(id_col).alias("id"), F.xxhash64(text).alias("row"), base_spans(text).alias("base"), _runs(text).alias("runs"))
+    return docs.select(known_id(id_col).alias("id"), F.xxhash64(text).alias("row"), base_spans(text, context).alias("base"), _runs(text, context, longest).alias("runs"))
 
 
-def candidates(scanned: DataFrame) -> DataFrame:
+def candidates(scanned: DataFrame, longest: int = LONGEST) -> DataFrame:
     """(id, row, start, end, hit, before, after, seed): each base span (one that
     lies over a shorter one stands for it) and each free piece of a run, with
     the normalised words ahead and behind."""
@@ -210,49 +215,79 @@ def candidates(scanned: DataFrame) -> DataFrame:
         return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), F.array_join(F.transform(x["ahead"], _word), " ").alias("before"), _word(x["behind"]).alias("after"), F.lit(seed).alias("seed")))
 
     rows = scanned.select("id", "row", taken.alias("taken"), "runs").where("size(taken) + size(runs) > 0")
-    free = F.flatten(F.transform("runs", lambda run: _free(run, F.col("taken"))))
+    free = F.flatten(F.transform("runs", lambda run: _free(run, F.col("taken"), longest)))
     return rows.select("id", "row", F.explode(F.concat(marked(seeds, True), marked(free, False))).alias("c")).select("id", "row", "c.*")
 
 
-def bootstrap(scanned: DataFrame, rounds: int = 2, min_seeds: int = 3, accept: float = 0.6) -> DataFrame:
+def shape(hit: Column) -> Column:
+    """Digits as 0, each; letters as a, a run of them; the rest (but punctuation at the ends) as it is."""
+    bare = F.regexp_replace(hit, r"^[^\p{L}\p{N}+(]+|[^\p{L}\p{N})]+$", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"\p{L}+", "a"), "[0-9]", "0")
+
+
+def patterns() -> Column:
+    """The patterns of a candidate: the words before it, or around it; where the
+    farther word is an identifier itself, also the nearest words around; and its
+    shape with the nearest word before or behind."""
+    near = F.substring_index("before", " ", -1)
+    ahead, behind = F.length("before") > 0, F.length("after") > 0
+    beyond = F.col("before").rlike(r"^\S*[0-9@]\S* [^0-9@]+$")
+    every = (
+        (F.contains("before", F.lit(" ")), (F.col("before"), F.lit(" _"))),
+        (ahead & behind, (F.col("before"), F.lit(" _ "), F.col("after"))),
+        (ahead & behind & beyond, (near, F.lit(" _ "), F.col("after"))),
+        (ahead, (near, F.lit(" <"), F.col("shape"), F.lit(">"))),
+        (behind, (F.lit("<"), F.col("shape"), F.lit("> "), F.col("after"))),
+    )
+    return F.filter(F.array(*(F.when(when, F.concat(*parts)) for when, parts in every)), lambda p: p.isNotNull())
+
+
+def bootstrap(scanned: DataFrame, generations: int | None = None, min_seeds: int = 3, accept: float = 0.4, longest: int = LONGEST) -> DataFrame:
     """(id, row, found): the spans that learnt patterns add, off the base spans.
 
-    A pattern is the words before an instance, or the words around it; where the
-    farther word is an identifier itself, also the nearest words around.  It is
-    accepted if at least ``min_seeds`` different seeds stood in it and its score
-    after ``rounds`` rounds is at least ``accept``.
+    Base spans are trusted.  In each generation a pattern is accepted if at least
+    ``min_seeds`` different trusted instances stand in it and they are at least
+    ``accept`` of all its instances and one more; an instance is trusted too once
+    the noisy-or of its accepted patterns' shares reaches ``accept``.  Trust only
+    grows, so it ends: when no instance is new, or after ``generations``.
     """
-    each = candidates(scanned).withColumn("instance", F.xxhash64("hit")).where("length(before) > 0")
-    near, around = F.substring_index("before", " ", -1), F.length("after") > 0
-    beyond = F.col("before").rlike(r"^\S*[0-9@]\S* [^0-9@]+$")
-    patterns = F.array(F.when(F.contains("before", F.lit(" ")), F.concat(F.col("before"), F.lit(" _"))), F.when(around, F.concat(F.col("before"), F.lit(" _ "), F.col("after"))), F.when(around & beyond, F.concat(near, F.lit(" _ "), F.col("after"))))
-    spread = each.select("*", F.explode(F.filter(patterns, lambda p: p.isNotNull())).alias("p")).withColumn("pattern", F.xxhash64("p"))
-    edges = spread.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    # only patterns with enough seeds can be accepted: the others leave the graph
-    able = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") >= min_seeds).select("pattern")
-    edges = edges.join(able, "pattern")
-    score = edges.select("pattern", "instance", "seed", F.col("seed").cast("double").alias("s"))
-    for k in range(rounds):
-        rated = score.groupBy("pattern").agg((F.sum("s") / (F.count("*") + 1)).alias("r"))
-        if k == rounds - 1:
+    each = candidates(scanned, longest).withColumns({"instance": F.xxhash64("hit"), "shape": shape(F.col("hit"))})
+    spread = cut(each.select("id", "row", "start", "end", "hit", "seed", "instance", F.explode(F.transform(patterns(), lambda p: F.xxhash64(p))).alias("pattern")), "patterns")
+    edges = cut(spread.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
+    trusted = cut(edges.where("seed").select("instance").distinct(), "trusted")
+    before, k = trusted.count(), 0
+    while True:
+        seen = edges.join(trusted.withColumn("known", F.lit(1)), "instance", "left")
+        rated = seen.groupBy("pattern").agg(F.count("known").alias("known"), F.count("*").alias("n")).where(F.col("known") >= min_seeds)
+        rated = cut(rated.select("pattern", (F.col("known") / (F.col("n") + 1)).alias("r")).where(F.col("r") >= accept), "rated")
+        k += 1
+        if k == generations:
             break
-        doubt = edges.join(rated, "pattern").groupBy("instance").agg(F.sum(F.log1p(-F.col("r"))).alias("doubt"))
-        score = edges.join(doubt, "instance").select("pattern", "instance", "seed", F.when(F.col("seed"), F.lit(1.0)).otherwise(1 - F.exp("doubt")).alias("s"))
-    good = rated.where(F.col("r") >= accept).select("pattern")
-    found = spread.where(~F.col("seed")).join(good, "pattern", "left_semi").select("id", "row", F.struct("start", "end", "hit").alias("x")).distinct()
-    return found.groupBy("id", "row").agg(F.array_sort(F.collect_list("x")).alias("found"))
+        believed = edges.join(rated, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("r"))))).alias("s")).where(F.col("s") >= accept)
+        trusted = cut(trusted.unionByName(believed.select("instance")).distinct(), "trusted")
+        after = trusted.count()
+        if after == before:
+            break
+        before = after
+    found = spread.where(~F.col("seed")).join(rated, "pattern", "left_semi").select("id", "row", F.struct("start", "end", "hit").alias("x"))
+    return found.groupBy("id", "row").agg(F.array_sort(F.collect_set("x")).alias("found"))
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, min_seeds: int = 3, accept: float = 0.6) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generations: int | None = None, min_seeds: int = 3, accept: float = 0.4, context: int = CONTEXT, longest: int = LONGEST) -> DataFrame:
     """(id, base, found): the base spans of each row by kind and the spans that
     context adds (kind ``context``), in code points, end exclusive.
 
+    The words of a context are looked for within ``context`` code points; tokens
+    one space apart are one candidate up to ``longest`` code points, beyond them
+    the next begins, and a longer token is one by itself.  ``generations``,
+    ``min_seeds`` and ``accept`` are those of :func:`bootstrap`.
+
     Null texts are empty; null ids come back null; repeated rows give repeated
     rows (a repeated text under the same id has one vote); an empty table gives
-    an empty one; other columns are not looked at.
+    an empty one; other columns are not looked at; texts of any length are read whole.
     """
-    scanned = cut(scan(docs, id_col, text_col), "pii")
-    added = bootstrap(scanned, rounds, min_seeds, accept)
+    scanned = cut(scan(docs, id_col, text_col, context, longest), "pii")
+    added = bootstrap(scanned, generations, min_seeds, accept, longest)
     base = F.struct(*(plain(F.col(f"base.{k}")).alias(k) for k in KINDS))
     return scanned.join(added, ["id", "row"], "left").select(given_id("id").alias("id"), base.alias("base"), F.coalesce("found", F.array().cast(SPAN)).alias("found"))
 

@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pytest
 from mendframe.llm import chat, toxicity
 from pyspark.sql import functions as F
 
@@ -71,32 +72,42 @@ def test_templates_that_rewrite_history_are_detected(spark):
     assert [r.rewrites for r in got] == [False, False, True, False]
 
 
-def test_templates_that_look_far_back_are_rendered_whole():
-    def counting(ts):
-        return "".join(f"{k}{r}:{t};" for k, (r, t) in enumerate(ts))
+TEMPLATES = {
+    "counting": lambda ts: "".join(f"{k}{r}:{t};" for k, (r, t) in enumerate(ts)),
+    "windowed": lambda ts: "".join(f"<{r}>{t}" for r, t in ts[-100:]),
+    "marked after 70": lambda ts: "".join(f"<{r}>{t}{'!' if k >= 70 else ''}" for k, (r, t) in enumerate(ts)),
+    "last turn open": lambda ts: "".join(f"<{r}>{t}{'' if k == len(ts) - 1 else '</>'}" for k, (r, t) in enumerate(ts)),
+    "headed": lambda ts: f"[{len(ts) > 90}]" + "".join(f"<{r}>{t}" for r, t in ts),
+    "local": chat.marked,
+}
 
-    own = [("u", f"t{k}") for k in range(30)]
-    assert "".join(x[1] for x in chat.spans(iter(own), counting, full=8, lookback=2)) == counting(own)
-    assert "".join(x[1] for x in chat.spans(iter(own), chat.marked, full=8, lookback=2)) == chat.marked(own)
 
+@pytest.mark.parametrize("template", TEMPLATES)
+def test_spans_are_those_of_rendering_every_prefix(template):
+    own = [("assistant" if k % 2 else "user", f"t{k} " * (k % 3)) for k in range(150)]
+    want = list(chat.spans(iter(own), TEMPLATES[template], lookback=None))
+    assert all(x[5] for x in want) and (template in ("counting", "marked after 70", "last turn open", "local")) == (not any(x[4] for x in want))
+    for lookback in (0, 1, 3, 200):
+        assert list(chat.spans(iter(own), TEMPLATES[template], lookback)) == want
 
-def test_history_rewritten_late_is_detected():
-    def windowed(ts):  # the first turns fall out of the window
-        return "".join(f"<{r}>{t}" for r, t in ts[-100:])
 
-    own = [("u", f"t{k}") for k in range(120)]
-    assert [x[4] for x in chat.spans(iter(own), windowed)] == [False] * 100 + [True] * 20
+def test_a_thousand_turns_take_linear_time():
+    calls = [0]
 
+    def render(ts):
+        calls[0] += len(ts)
+        return chat.marked(ts)
 
-def test_turns_that_are_rendered_in_part_are_given_as_unchecked(spark):
-    def windowed(ts):  # local up to the turn that drops the first ones
-        return "".join(f"<{r}>{t}" for r, t in ts[-70:])
+    own = [("user", "x" * 50)] * 1000
+    assert "".join(x[1] for x in chat.spans(iter(own), render)) == chat.marked(own)
+    assert calls[0] < 12_000  # every prefix: 500,000 turns and more
 
+
+def test_turns_beyond_the_bound_are_given_as_unchecked(spark):
     rows = [(1, k, "user", f"t{k}") for k in range(90)] + [(2, 0, "user", "q")]
-    for lookback in (None, 1):
-        got = sorted(chat.format_conversations(turns(spark, rows), windowed, lookback=lookback).collect(), key=lambda r: (r.conv, r.turn))
-        assert [r.rewrites or not r.checked for r in got] == [k >= (70 if lookback is None else 64) for k in range(90)] + [False]
-        assert all(r.checked for r in got) == (lookback is None)
+    got = sorted(chat.format_conversations(turns(spark, rows), most_chars=1000).collect(), key=lambda r: (r.conv, r.turn))
+    assert [r.checked for r in got] == [r.checked for r in got if r.conv == 1 and r.checked] + [False] * sum(not r.checked for r in got) + [True] and not got[89].checked and got[20].checked
+    assert "".join(r.formatted for r in got[:90]) == chat.marked([("user", f"t{k}") for k in range(90)])
 
 
 # --- 9 Toxicity

@@ -277,6 +277,39 @@ def test_every_kind_seeds_and_spaced_identifiers_are_found(spark):
     assert all(r.before for r in seeds.collect()) and seeds.where("hit like '+%'").count() == len(phones)
 
 
+def test_what_is_discovered_induces_patterns(spark):
+    """Seeds only stand in "write to"; what that discovers also stands behind
+    "account no", which so becomes a pattern and discovers the rest."""
+    rng = random.Random(16)
+    first = [f"please write to u{k}@mail.example.com now" for k in range(6)]
+    middle = [f"{w} {k}5{k}7-AB{k}" for k in range(5) for w in ("please write to", "see account no")]
+    last = [f"see account no {rng.randrange(10**7, 10**8)} here" for _ in range(5)]
+    decoys = [f"chapter {k} of {1900 + k} begins at page {1000 + 7 * k} or so" for k in range(60)] + [f"in {1900 + k} there" for k in range(30)]
+    pairs = list(enumerate(first + middle + last + decoys))
+    found = {r.id: [s.hit for s in r.found] for r in pii.personal_data(table(spark, pairs)).collect()}
+    planted = {k: t.split()[3] for k, t in pairs[6:21]}
+    caught = {k for k, x in planted.items() if found[k] == [x]}
+    marked = {k for k in found if found[k]}
+    assert len(caught) / len(planted) == 1 and caught == marked  # recall and precision 1 on this corpus
+    once = {r.id for r in pii.personal_data(table(spark, pairs), generations=1).collect() if r.found}
+    assert once and once < marked and not once & set(range(16, 21))
+
+
+def test_shapes_tell_identifiers_of_a_kind(spark):
+    def luhn_valid(rng):
+        while True:
+            x = "".join(rng.choice("0123456789") for _ in range(16))
+            if luhn(x):
+                return x
+
+    rng = random.Random(17)
+    pairs = [(k, f"{rng.choice(['alpha', 'beta', 'gamma'])} {rng.randrange(10**6)}x the {luhn_valid(rng)} {rng.choice(['one', 'two'])}") for k in range(12)]
+    pairs += [(100 + k, f"words the 12345678901234{k:02d} then") for k in range(8) if not luhn(f"12345678901234{k:02d}")]
+    pairs += [(200 + k, f"words at {1700000000000 + 7919 * k} then") for k in range(60)]  # times: one in ten passes by chance
+    found = {r.id: [s.hit for s in r.found] for r in pii.personal_data(table(spark, pairs)).collect()}
+    assert all(len(found[k]) == 1 for k, _ in pairs if 100 <= k < 200) and not any(found[k] for k, _ in pairs if k >= 200)
+
+
 def test_candidates_are_whole_runs_around_base_spans(spark):
     texts = ["call a1b2c 017 555 me@x.example.com 2024 7713\n99999 end", "n " + "12345 " * 30, "n " + "1 " * 5000, "9" * 65 + " x 8888"]
     rows = pii.candidates(pii.scan(table(spark, list(enumerate(texts))))).collect()
@@ -284,7 +317,7 @@ def test_candidates_are_whole_runs_around_base_spans(spark):
     assert [x[2:] for x in got[0]] == [("a1b2c 017 555", "call", "@", False), ("me@x.example.com", "0 0", "0", True), ("2024 7713", "0 @", "0", False), ("99999", "0 0", "end", False)]
     assert all(texts[k][a:b] == hit for k in got for a, b, hit, *_ in got[k])
     assert " ".join(x[2] for x in got[1]) == ("12345 " * 30).strip() and " ".join(x[2] for x in got[2]) == ("1 " * 5000).strip()
-    assert max(len(x[2]) for x in got[1] + got[2]) <= pii.LONGEST and [x[2:4] for x in got[3]] == [("8888", "0 x")]
+    assert max(len(x[2]) for x in got[1] + got[2]) <= pii.LONGEST and [x[2:4] for x in got[3]] == [("9" * 65, ""), ("8888", "0 x")]
 
 
 # --- 4 Repeated passages
