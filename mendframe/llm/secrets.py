@@ -3,7 +3,8 @@
 Prose spends one token on several characters; a random string spends one on
 little more than one.  Candidate strings are encoded with a tiktoken
 vocabulary, and a low characters-per-token ratio marks them, unless they are
-known digests or identifiers.  A candidate is a whole run, a stretch of it
+known digests (listed, of nothing, or named as digests by the words in front of
+them; the length of a digest alone says nothing) or identifiers.  A candidate is a whole run, a stretch of it
 between words, or a part between separators, so that words glued on do not
 average a random string away.
 """
@@ -11,7 +12,9 @@ average a random string away.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
+from collections.abc import Collection
 from functools import lru_cache
 from itertools import permutations
 
@@ -46,6 +49,12 @@ ALPHABETS = tuple(a + b + c for a, b, c in permutations(("ABCDEFGHIJKLMNOPQRSTUV
 UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 #: Lengths in hexadecimal of the usual digests (64, 128, 160, 224, 256, 384, 512 bits).
 DIGESTS = (16, 32, 40, 56, 64, 96, 128)
+#: Words in front of a digest that say what it is.
+NAMED = re.compile(r"(?:sha-?[0-9]{0,3}|md5|blake[0-9a-z]*|crc(?:32|64)?|digest|checksum|hash|commit|revision|etag|integrity|fingerprint|objects)[^A-Za-z0-9\n]{1,8}\Z", re.ASCII | re.IGNORECASE)
+#: Digests of nothing, which stand for no secret.
+OF_NOTHING = frozenset(hashlib.new(name, b"").hexdigest() for name in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"))
+#: Code points in which such a word is looked for.
+AHEAD = 24
 #: A digest or UUID between separators.
 WHOLE = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|{'|'.join(f'[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}' for n in DIGESTS)})(?![A-Za-z0-9])")
 #: Characters a token under which a string counts as random (prose has 4, code 3).
@@ -77,9 +86,9 @@ def tokens(x: str, encoding: tiktoken.Encoding) -> int:
 
 
 def is_known(x: str, encoding: tiktoken.Encoding, ratio: float = RATIO) -> bool:
-    """A digest, a UUID, a time, a number, an alphabet, or an identifier: parts of
-    a name's shape whose letters, if more than three stand together, are words."""
-    if UUID.fullmatch(x) or TIME.fullmatch(x) or (len(x) in DIGESTS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", x)):
+    """A UUID, a time, a number, an alphabet, or an identifier: parts of a name's
+    shape whose letters, if more than three stand together, are words."""
+    if UUID.fullmatch(x) or TIME.fullmatch(x):
         return True
     if len(x) <= 66 and any(x.rstrip("+/_=-") in a for a in ALPHABETS):
         return True
@@ -124,41 +133,48 @@ def random_in(x: str, encoding: tiktoken.Encoding, ratio: float = RATIO) -> list
     return out
 
 
-def random_strings(text: str, encoding: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[str, int, int]]:
-    """Spans of candidates that the vocabulary compresses badly; digests and
+def is_digest(text: str, start: int, end: int, known: Collection[str] = ()) -> bool:
+    """Whether the digest or UUID that stands there is known as one."""
+    x = text[start:end].lower()
+    return "-" in x or x in known or x in OF_NOTHING or bool(NAMED.search(text, max(0, start - AHEAD), start))
+
+
+def random_strings(text: str, encoding: tiktoken.Encoding, ratio: float = RATIO, known: Collection[str] = ()) -> list[tuple[str, int, int]]:
+    """Spans of candidates that the vocabulary compresses badly; known digests and
     UUIDs end a candidate."""
     out = []
     for m in CANDIDATE.finditer(text):
-        at = 0
-        for a, b in [*(k.span() for k in WHOLE.finditer(m[0])), (len(m[0]), 0)]:
+        at = m.start()
+        for a, b in [*(k.span() for k in WHOLE.finditer(text, *m.span()) if is_digest(text, *k.span(), known)), (m.end(), 0)]:
             if a - at >= min(LEAST.values()):
-                out += [("random", m.start() + at + c, m.start() + at + d) for c, d in random_in(m[0][at:a], encoding, ratio)]
+                out += [("random", at + c, at + d) for c, d in random_in(text[at:a], encoding, ratio)]
             at = b
     return out
 
 
-def spans(text: str | None, encoding: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[str, int, int]]:
+def spans(text: str | None, encoding: tiktoken.Encoding, ratio: float = RATIO, known: Collection[str] = ()) -> list[tuple[str, int, int]]:
     """Base spans and added ones (kind ``random``), by start, then kind."""
     text = text or ""
-    return sorted(base_spans(text) + random_strings(text, encoding, ratio), key=lambda s: (s[1], (*KINDS, "random").index(s[0])))
+    return sorted(base_spans(text) + random_strings(text, encoding, ratio, known), key=lambda s: (s[1], (*KINDS, "random").index(s[0])))
 
 
-def secrets(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ratio: float = RATIO) -> DataFrame:
+def secrets(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ratio: float = RATIO, known: Collection[str] = ()) -> DataFrame:
     """(id, spans array<struct<kind, start, end, hit>>): code points, end exclusive.
 
-    ``path`` is a local file of tiktoken ranks on the driver.  A null text is
-    empty; ids and repeated rows pass through as they are; an empty table gives
-    an empty one; other columns are not looked at.
+    ``path`` is a local file of tiktoken ranks on the driver; ``known`` are digests
+    (lower-case hexadecimal) that are no secrets.  A null text is empty; ids and
+    repeated rows pass through as they are; an empty table gives an empty one;
+    other columns are not looked at; texts of any length are read whole.
     """
     docs.sparkSession.sparkContext.addFile(path)
-    name = path.rpartition("/")[2]
+    name, listed = path.rpartition("/")[2], frozenset(known)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("hit", pa.string())]))
 
     def make():
         encoding = vocabulary(SparkFiles.get(name))
 
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            every = [[{"kind": k, "start": a, "end": b, "hit": x[a:b]} for k, a, b in spans(x, encoding, ratio)] for x in batch.column(1).to_pylist()]
+            every = [[{"kind": k, "start": a, "end": b, "hit": x[a:b]} for k, a, b in spans(x, encoding, ratio, listed)] for x in batch.column(1).to_pylist()]
             return pa.record_batch([batch.column(0), pa.array(every, kind)], names=["id", "spans"])
 
         return turn

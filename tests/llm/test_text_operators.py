@@ -551,6 +551,21 @@ def test_glued_words_and_letters_alone_hide_no_secret():
             assert caught >= 100 * least, (n, front, caught)
 
 
+def test_only_known_digests_are_left_alone():
+    import public_tokenizers
+
+    encoding = secrets.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(18)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (32, 40, 64, 96, 128) for _ in range(40)]
+    hexes += [x.upper() for x in hexes[:40]]
+    caught = 0
+    for x in hexes:
+        plain, named = f'so token = "{x}" it is', [f"sha256: {x}", f"a commit {x}", f"SHA-1={x}", f"/objects/{x}", f"(md5 {x})"]
+        caught += any(a <= plain.index(x) and b >= plain.index(x) + len(x) for _, a, b in secrets.random_strings(plain, encoding))
+        assert not any(secrets.random_strings(t, encoding) for t in named) and not secrets.random_strings(plain, encoding, known=(x.lower(),))
+    assert caught >= 0.97 * len(hexes)
+
+
 def test_recognised_strings_are_left_alone():
     import public_tokenizers
 
