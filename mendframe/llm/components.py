@@ -72,3 +72,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def across(placed: DataFrame) -> DataFrame:
+    """(u, v): the pairs of nodes of one bucket that lie in different parts, of the
+    rows (key, part, node) of ``placed``.  The parts meet first, so that a bucket
+    all of which is one part costs its rows, not its pairs."""
+    parts = placed.select("key", "part").distinct()
+    meets = parts.withColumnRenamed("part", "one").join(parts.withColumnRenamed("part", "two"), "key").where("one < two")
+    left, right = (placed.select("key", F.col("part").alias(p), F.col("node").alias(k)) for p, k in (("one", "a"), ("two", "b")))
+    return meets.join(left, ["key", "one"]).join(right, ["key", "two"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))

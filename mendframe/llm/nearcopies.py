@@ -3,14 +3,14 @@
 Two texts are linked if their sets of ``shingle``-word shingles have a Jaccard
 similarity of at least ``similarity``.  At 0.8 their 64-bit SimHash fingerprints
 differ in some ten bits, far beyond the four that Golay keys can hold, so the
-fingerprints' links are joined by candidates from bands of least shingle hashes,
-and every candidate is verified on the whole sets.
+classes that the fingerprints' links make are joined by bands of least shingle
+hashes, and every candidate is verified on the whole sets.
 
 1. Texts of the same words are one: the least id stands for them.
-2. Texts that share a key (a band or a fingerprint) are a bucket.  Each member
-   is held against the bucket's least id only, and what passes is one component.
-3. Pairs of a bucket, or of SimHash links, that lie in different components by
-   then are all held against each other.  Pairs inside a component need not be:
+2. Texts that share a key (a band, or a class of linked fingerprints) are a bucket.
+   Each member is held against the bucket's least id only, and what passes is one component.
+3. Pairs of a bucket that lie in different components by then are all held against
+   each other.  Pairs inside a component need not be:
    however many near copies a text has, they cost a row each, not a row a pair,
    and no link between candidates that would join two components is lost.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendframe.llm.common import by_batch, cut, forget, given_id, known_id
-from mendframe.llm.components import components
+from mendframe.llm.components import across, components
 from mendframe.llm.simhash import links, majority, shingle_hashes
 
 #: A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.996 at 0.8, 0.9999 at 0.85.
@@ -92,11 +92,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return held.where(F.col("n") >= F.col("all") * F.lit(similarity) - F.lit(1e-9)).select("u", "v")
 
 
-def _across(meets: DataFrame, left: DataFrame, right: DataFrame, on: tuple[list[str], list[str]]) -> DataFrame:
-    """(u, v) of all members of the two parts of each row of ``meets``."""
-    return meets.join(left, on[0]).join(right, on[1]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-
-
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(known_id(id_col).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
@@ -108,36 +103,27 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     sketches = cut(_sketches(base, shingle), "sketches")
     texts = cut(sketches.groupBy("node").agg(F.min(F.struct("id", "row")).alias("one"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
 
-    # buckets: a band, or a fingerprint (the tag keeps the two apart)
-    keyed = texts.select("node", F.explode(F.concat("bands", F.array(F.xxhash64("fp", F.lit("fp"))))).alias("key"))
+    # buckets: a band, or a class of linked fingerprints (the tag keeps the two apart)
+    fps = components(links(texts.select("fp").distinct())).withColumnsRenamed({"node": "fp", "root": "linked"})
+    texts = cut(texts.join(fps, "fp", "left").withColumn("linked", F.coalesce("linked", "fp")), "linked")
+    keyed = texts.select("node", F.explode(F.concat("bands", F.array(F.xxhash64("linked", F.lit("fp"))))).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least < last").select("key", "least")
     buckets = cut(keyed.join(cut(shared, "keys"), "key"), "buckets")
-    near = cut(links(texts.select("fp").distinct()).distinct(), "links")
-    linked = near.select(F.col("u").alias("fp")).unionByName(near.select(F.col("v").alias("fp"))).distinct()
 
-    wanted = buckets.select("node").unionByName(texts.join(linked, "fp", "left_semi").select("node")).distinct()
-    chosen = texts.join(wanted, "node", "left_semi").select("node", "one.*")
+    chosen = texts.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "one.*")
     sets = _sets(base.join(chosen, ["id", "row"]).select("node", "text"), shingle)
     sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
     led = buckets.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
     passed = cut(_verified(led, sets, similarity), "led")
-    part = cut(texts.select("node", "fp").join(components(passed), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("part")), "parts")
-
+    part = cut(texts.select("node").join(components(passed), "node", "left").select("node", F.coalesce("root", "node").alias("part")), "parts")
     placed = cut(buckets.select("key", "node").join(part, "node").select("key", "part", "node"), "placed")
-    parts = placed.select("key", "part").distinct()
-    meets = parts.withColumnRenamed("part", "one").join(parts.withColumnRenamed("part", "two"), "key").where("one < two")
-    left, right = (placed.select("key", F.col("part").alias(p), F.col("node").alias(k)) for p, k in (("one", "a"), ("two", "b")))
-    rest = _across(meets, left, right, (["key", "one"], ["key", "two"]))
-
-    left, right = (part.select(F.col("fp").alias(f), F.col("part").alias(p), F.col("node").alias(k)) for f, p, k in (("u", "one", "a"), ("v", "two", "b")))
-    meets = near.join(left.select("u", "one").distinct(), "u").join(right.select("v", "two").distinct(), "v").where("one <> two")
-    rest = rest.unionByName(_across(meets, left, right, (["u", "one"], ["v", "two"])))
+    rest = across(placed)
 
     rest = rest.distinct().join(led, ["u", "v"], "left_anti")
     roots = components(passed.unionByName(_verified(rest, sets, similarity)))
     classes = cut(texts.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "classes")
-    for table in (texts, buckets, near, sets, passed, part, placed):
+    for table in (texts, buckets, sets, passed, part, placed):
         forget(table)
     return sketches.select("id", "row", "node").join(classes, "node").select("id", "row", "root")
 

@@ -13,11 +13,15 @@ pair are pigeonholed over them.
   ``j`` at one error and ``k`` at one or two, one of three parts of ``k`` is
   equal, one side's own index of ``i`` is among the other side's indices of
   ``i``, and the same the other way round for ``j``: key (index of i, index of
-  j, a part of k), with a left and a right kind of row.
-
-A key has 31 to 33 bits, so candidates stay few; each is verified by counting
-the bits that differ inside the join.  Only distinct fingerprints are joined:
-copies of a text, however many, are one row.
+  j, a part of k).
+
+A key has 31 to 33 bits, so candidates stay few.  Only distinct fingerprints have
+keys: copies of a text, however many, are one row.  The fingerprints that share a
+key are a bucket; each is held against the bucket's least one, which makes a row
+each, and what is linked so is one part.  Only then are pairs of a bucket that lie
+in different parts held against each other.  A link inside a part joins nothing
+that isn't joined, so no link is lost to the classes, and a large group of near
+copies costs its rows, not its pairs.
 """
 
 from __future__ import annotations
@@ -25,18 +29,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mendframe.llm.common import by_batch, cut, given_id, known_id
-from mendframe.llm.components import components
+from mendframe.llm.common import by_batch, cut, forget, given_id, known_id
+from mendframe.llm.components import across, components
 from mendframe.llm.golay import fuzzy_indices, index
 
 SEED, RADIUS = 42, 4
 #: (offset, width) of the segments, and of the three parts of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PARTS = (((0, 8), (8, 7), (15, 7)), ((0, 7), (7, 7), (14, 7)), ((0, 7), (7, 7), (14, 7)))
-BOTH, LEFT, RIGHT = 0, 1, 2
 
 
 def shingle_hashes(text: str | None, shingle: int = 4) -> np.ndarray:
@@ -78,85 +81,66 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(known_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(by_batch(make), "id long, fp long")
 
 
-def blocking_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, side) of every key of each (unsigned) fingerprint."""
+def blocking_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every key of each (unsigned) fingerprint."""
     bits = [(fps >> np.uint64(at)).astype(np.int64) & ((1 << width) - 1) for at, width in SEGMENTS]
     own, near = [index(b) for b in bits], [fuzzy_indices(b) for b in bits]
-    rows, keys, sides = [], [], []
+    rows, keys = [], []
 
-    def put(row, tag, high, low, side):
+    def put(row, tag, high, low):
         rows.append(row)
         keys.append(np.int64(tag) << 50 | high << 12 | low)
-        sides.append(np.full(len(row), side, dtype=np.int8))
 
     every = np.arange(len(fps))
     for i in range(3):
         for j in range(3):
             if i != j:
                 row, idx = near[j]
-                put(row, 3 * i + j, bits[i][row], idx, BOTH)
+                put(row, 3 * i + j, bits[i][row], idx)
     for k, (i, j) in enumerate(((1, 2), (0, 2), (0, 1))):
         for p, (at, width) in enumerate(PARTS[k]):
             part = bits[k][every] >> at & ((1 << width) - 1)
             row, idx = near[j]
-            put(row, 9 + 3 * k + p, part[row] << 12 | own[i][row], idx, LEFT)
+            put(row, 9 + 3 * k + p, part[row] << 12 | own[i][row], idx)
             row, idx = near[i]
-            put(row, 9 + 3 * k + p, part[row] << 12 | idx, own[j][row], RIGHT)
-    return np.concatenate(rows), np.concatenate(keys), np.concatenate(sides)
+            put(row, 9 + 3 * k + p, part[row] << 12 | idx, own[j][row])
+    return np.concatenate(rows), np.concatenate(keys)
 
 
-def first_tag(x: Column) -> Column:
-    """The kind of key at which a pair whose bits differ as ``x`` is reported, of
-    all the kinds that find it: the rules of :func:`blocking_keys`, in order."""
-    masks = [((1 << width) - 1) << at for at, width in SEGMENTS]
+def _buckets(fps: DataFrame) -> DataFrame:
+    """(key, fp, least): the keys that several fingerprints of ``fps`` have."""
 
-    def errors(mask):
-        return F.bit_count(x.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):  # so that 128 keys a row stay within a few tens of MB
+                fp = batch.column(0).slice(at, 4096).to_numpy()
+                row, key = blocking_keys(fp.view(np.uint64))
+                yield pa.record_batch([pa.array(key), pa.array(fp[row])], names=["key", "fp"])
 
-    e = [errors(m) for m in masks]
-    tag = None
-    for i in range(3):
-        j, other = (k for k in range(3) if k != i)
-        value = F.when(e[j] <= 2, 3 * i + j).otherwise(3 * i + other)
-        tag = F.when(e[i] == 0, value) if tag is None else tag.when(e[i] == 0, value)
-    for k, (i, j) in enumerate(((1, 2), (0, 2), (0, 1))):
-        parts = [errors(((1 << width) - 1) << (SEGMENTS[k][0] + at)) == 0 for at, width in PARTS[k]]
-        value = F.when(parts[0], 9 + 3 * k).when(parts[1], 10 + 3 * k).otherwise(11 + 3 * k)
-        tag = tag.when((e[i] == 1) & (e[j] == 1), value)
-    return tag
+    # a row becomes 128: dealt out first, however few bytes the fingerprints are
+    # (by a hash, since a deal by the column itself is taken to be there already)
+    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
+    keys = dealt.mapInArrow(run, "key long, fp long")
+    shared = keys.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("last")).where("least < last").select("key", "least")
+    shared = cut(shared, "shared")  # few: its size is known now, so the keys need not be shuffled again if it is small
+    return cut(keys.join(shared, "key"), "buckets")
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(u, v): every pair of different fingerprints of ``fps`` (one column ``fp``,
-    distinct) within ``radius`` <= 4 bits; it is reported at one kind of key, so
-    hardly more than once."""
+    """(u, v): pairs of different fingerprints of ``fps`` (one column ``fp``,
+    distinct) within ``radius`` <= 4 bits; not all, but so many that whatever is
+    linked is connected by them."""
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the keys cover a radius of 0 to {RADIUS} bits")
-
-    def make():
-        def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fp = batch.column(0).to_numpy()
-            row, key, side = blocking_keys(fp.view(np.uint64))
-            return pa.record_batch([pa.array(key), pa.array(fp[row]), pa.array(side)], names=["key", "fp", "side"])
-
-        return turn
-
-    def small(batches):  # so that 128 keys a row stay within a few tens of MB
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                yield batch.slice(at, 4096)
-
-    run = by_batch(make)
-    # a row becomes 128: dealt out first, however few bytes the fingerprints are
-    # (by a hash, since a deal by the column itself is taken to be there already)
-    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
-    keys = dealt.mapInArrow(lambda b: run(small(b)), "key long, fp long, side byte")
-    a, b = keys.alias("a"), keys.alias("b")
-    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    # both sides share one exchange: nothing here can be pushed below it
-    meet = (F.col("a.key") == F.col("b.key")) & (F.bit_count(x) <= radius) & (F.col("a.fp") < F.col("b.fp"))
-    meet &= (F.col("a.side") * 3 + F.col("b.side")).isin(BOTH, LEFT * 3 + RIGHT) & (F.shiftright("a.key", 50) == first_tag(x))
-    return a.join(b, meet).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius
+    buckets = _buckets(fps)
+    led = cut(buckets.where("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v")).where(near).distinct(), "led")
+    part = components(led).withColumnsRenamed({"node": "fp", "root": "part"})
+    placed = cut(buckets.select("key", "fp").join(part, "fp", "left").select("key", F.coalesce("part", "fp").alias("part"), F.col("fp").alias("node")), "placed")
+    found = cut(led.unionByName(across(placed).where(near).distinct()), "links")
+    for table in (buckets, led, placed):
+        forget(table)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = RADIUS) -> DataFrame:
@@ -166,7 +150,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null ids count as one id that precedes all others (and come back as null);
     null or wordless texts have fingerprint 0 and are linked like any other;
     repeated rows give repeated rows; an empty table gives an empty one; other
-    columns are not looked at.
+    columns are not looked at; a text is read whole and hashed in blocks.
     """
     marked = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     first = marked.groupBy("fp").agg(F.min("id").alias("least"))
@@ -181,7 +165,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each near-duplicate class: that of the least id
-    (of rows repeated under that id, one)."""
+    (of rows repeated under that id, one).  Nulls, ties, empty and long texts are as
+    in :func:`near_duplicates`; the columns are those of ``docs``, whatever their names."""
     name = "__mf_id"
     first = near_duplicates(docs, id_col, text_col, shingle, radius).where(F.col("id").eqNullSafe(F.col("component")))
     first = first.select(known_id("id").alias(name)).distinct()

@@ -102,10 +102,9 @@ def test_keys_cover_every_pattern_of_four_errors():
         for bit in rng.sample(range(64), rng.randint(1, 4)):
             b[k] ^= np.uint64(1 << bit)
     left, right = {}, {}
-    for out, fps, other in ((left, a, simhash.RIGHT), (right, b, simhash.LEFT)):
-        for row, key, side in zip(*(x.tolist() for x in simhash.blocking_keys(fps)), strict=True):
-            if side != other:
-                out.setdefault(row, set()).add(key)
+    for out, fps in ((left, a), (right, b)):
+        for row, key in zip(*(x.tolist() for x in simhash.blocking_keys(fps)), strict=True):
+            out.setdefault(row, set()).add(key)
     assert all(left[k] & right[k] for k in range(len(a)))
 
 
@@ -124,6 +123,34 @@ def test_keep_one(docs, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_links_connect_all_that_is_linked_at_a_row_each(spark):
+    rng = random.Random(20)
+    centre = rng.getrandbits(64)
+    fps = {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(600)}  # all pairs: 180,000
+    chain, x = set(), rng.getrandbits(64)
+    for _ in range(60):  # far apart at its ends
+        x ^= 1 << rng.randrange(64) | 1 << rng.randrange(64) | 1 << rng.randrange(64)
+        chain.add(x)
+    fps |= chain | {rng.getrandbits(64) for _ in range(300)}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))
+    pairs = [(r.u, r.v) for r in found.collect()]
+    assert all(0 < ((u ^ v) & (1 << 64) - 1).bit_count() <= 4 for u, v in pairs) and len(pairs) < 40_000
+    parent = {f: f for f in signed}
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for u, v in pairs:
+        parent[root(u)] = root(v)
+    roots = np.array([root(f) for f in signed])
+    every = np.array(signed, dtype=np.int64).view(np.uint64)
+    for k in range(len(every)):
+        assert (roots[np.bitwise_count(every ^ every[k]) <= 4] == roots[k]).all()
+
+
 def test_radius_is_checked(docs):
     with pytest.raises(ValueError, match="radius"):
         simhash.links(docs, 5)
