@@ -1,9 +1,11 @@
 """Benchmark decontamination by word n-grams, with built-in expressions only.
 
 The test items' n-grams form a hash table that is broadcast when its measured
-size is under a bound (beyond it, the join shuffles).  Documents are scanned
+size, the lists of items included, is under a bound.  Documents are scanned
 once: each becomes a row for itself and one for each window's hash, the join
-keeps the first and the verified hits, and only those are aggregated.
+keeps the first and the verified hits, and only those are aggregated.  Beyond
+the bound only hashes and places are shuffled to meet the table, and what they
+meet goes back to the document to be compared there.
 """
 
 from __future__ import annotations
@@ -52,6 +54,33 @@ def _windows(k: int) -> Column:
     return F.when(F.size("h") >= k, every).otherwise(F.array().cast(f"array<{WINDOW}>"))
 
 
+def _met_by_broadcast(hashed: DataFrame, windows: list[Column], grams: DataFrame) -> DataFrame:
+    """(id, row, n_words, times, hits, items) of each different row of ``hashed``."""
+    scan = hashed.select("id", "row", "w", F.explode(F.concat(*windows)).alias("x"))
+    held = F.array_join(F.slice("w", F.col("x.start") + 1, F.col("x.len")), " ")
+    # equality, put so that it isn't a join key: keys are computed for every window
+    meet = (F.col("x.s") == F.col("gram_hash")) & F.startswith(held, F.col("gram")) & F.startswith(F.col("gram"), held)
+    found = scan.join(F.broadcast(grams), meet, "left").where(F.col("x").isNull() | F.col("gram").isNotNull())
+    hit = F.when(F.col("x").isNotNull(), F.struct(F.col("x.start").alias("start"), F.col("x.len").alias("len")))
+    each = found.select("id", "row", F.when(F.col("x").isNull(), F.size("w")).alias("n"), hit.alias("hit"), "items")
+    # sets of lists: windows of one passage have one list
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
+    return each.groupBy("id", "row").agg(F.max("n").cast("long").alias("n_words"), F.count("n").cast("int").alias("times"), F.array_sort(F.collect_set("hit")).alias("hits"), items.alias("items"))
+
+
+def _met_by_shuffle(hashed: DataFrame, windows: list[Column], grams: DataFrame) -> DataFrame:
+    """The same, with no words in the exchange of windows."""
+    every = F.filter(F.concat(*windows), lambda x: x.isNotNull())
+    met = hashed.select("id", "row", F.inline(every)).distinct().join(grams.select("gram_hash", "gram", "items"), F.col("s") == F.col("gram_hash"))
+    met = met.groupBy("id", "row").agg(F.collect_set(F.struct("start", "len", "gram", "items")).alias("met"))
+    rows = hashed.groupBy("id", "row").agg(F.first("w").alias("w"), F.count("*").cast("int").alias("times")).join(met, ["id", "row"], "left")
+    real = F.filter(F.coalesce("met", F.array()), lambda m: F.array_join(F.slice("w", m["start"] + 1, m["len"]), " ") == m["gram"])
+    rows = rows.withColumn("real", real)
+    hits = F.array_sort(F.array_distinct(F.transform("real", lambda m: F.struct(m["start"].alias("start"), m["len"].alias("len")))))
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("real", lambda m: m["items"]))))
+    return rows.select("id", "row", F.size("w").cast("long").alias("n_words"), "times", hits.alias("hits"), items.alias("items"))
+
+
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 13) -> DataFrame:
     """One row a row of ``docs``: (id, row, n_words, hits, n_hit, items).
 
@@ -59,24 +88,18 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     that a test item holds, ``n_hit`` the words inside any of them, ``items``
     the sorted ids (strings) of the items concerned.  Null or wordless texts
     have no words.  ``id`` is null-safe (see ``known_id``).  Repeated rows give
-    repeated rows; empty tables on either side give the plain result.
+    repeated rows; empty tables on either side give the plain result; other columns
+    are not looked at; texts of any length are read whole.
     """
     grams = item_grams(items, item_id_col, item_text_col, n)
-    size = grams.groupBy("gram_len").agg(F.sum(F.octet_length("gram") + 64).alias("bytes")).collect()  # n rows at most
-    if sum(r["bytes"] for r in size) <= BROADCAST_BYTES:
-        grams = F.broadcast(grams)
+    listed = F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16)
+    size = grams.groupBy("gram_len").agg(F.sum(F.octet_length("gram") + listed + 64).alias("bytes")).collect()  # n rows at most
+    small = sum(r["bytes"] for r in size) <= BROADCAST_BYTES
     text = F.col(text_col).cast("string")
     base = docs.select(known_id(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row"), words(text).alias("w"))
     windows = [F.array(F.lit(None).cast(WINDOW)), *(_windows(r["gram_len"]) for r in sorted(size))]
     hashed = base.select("id", "row", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    scan = hashed.select("id", "row", "w", F.explode(F.concat(*windows)).alias("x"))
-    held = F.array_join(F.slice("w", F.col("x.start") + 1, F.col("x.len")), " ")
-    # equality, put so that it isn't a join key: keys are computed for every window
-    meet = (F.col("x.s") == F.col("gram_hash")) & F.startswith(held, F.col("gram")) & F.startswith(F.col("gram"), held)
-    found = scan.join(grams, meet, "left").where(F.col("x").isNull() | F.col("gram").isNotNull())
-    hit = F.when(F.col("x").isNotNull(), F.struct(F.col("x.start").alias("start"), F.col("x.len").alias("len")))
-    per_doc = found.select("id", "row", F.when(F.col("x").isNull(), F.size("w")).alias("n"), hit.alias("hit"), "items")
-    per_doc = per_doc.groupBy("id", "row").agg(F.max("n").cast("long").alias("n_words"), F.count("n").cast("int").alias("times"), F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    per_doc = (_met_by_broadcast if small else _met_by_shuffle)(hashed, windows, grams)
     start = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n"))
 
     def cover(a, x):
@@ -92,7 +115,9 @@ def is_contaminated(per_mille: int = 50) -> Column:
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 13, per_mille: int = 50) -> DataFrame:
-    """``docs`` without the rows that :func:`is_contaminated` marks."""
+    """``docs`` without the rows that :func:`is_contaminated` marks.  Null and
+    wordless texts stay; null ids are ids like any other; of repeated rows all or
+    none go; an empty table gives an empty one; the columns are those of ``docs``."""
     bad = overlaps(docs, items, id_col, text_col, n=n).where(is_contaminated(per_mille)).select(F.col("id").alias("__mf_id"), F.col("row").alias("__mf_row")).distinct()
     keyed = docs.withColumns({"__mf_id": known_id(id_col), "__mf_row": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
     return keyed.join(bad, ["__mf_id", "__mf_row"], "left_anti").drop("__mf_id", "__mf_row")
@@ -100,7 +125,9 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
 
 def remove_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 13) -> DataFrame:
     """``docs`` with hit words blanked out: runs of hit words (and what stands
-    between them) become one space; the rest of the text is left as it is."""
+    between them) become one space; the rest of the text is left as it is.  Null
+    texts stay null; repeated rows are all changed; an empty table gives an empty
+    one; the columns are those of ``docs``; texts of any length are read whole."""
     keyed = docs.withColumns({"__mf_id": known_id(id_col), "__mf_row": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
     hits = overlaps(docs, items, id_col, text_col, n=n).where("n_hit > 0").select(F.col("id").alias("__mf_id"), F.col("row").alias("__mf_row"), F.col("hits").alias("__mf_hits")).dropDuplicates(["__mf_id", "__mf_row"])
     joined = keyed.join(hits, ["__mf_id", "__mf_row"], "left")

@@ -449,9 +449,23 @@ def test_overlaps(docs, empty, spark):
 
 def test_overlaps_without_broadcast(docs, spark, monkeypatch):
     items = spark.createDataFrame([(1, corpus()[10][1]), (2, "alpha beta")], "item_id long, text string")
-    want = by_row((r.id, r.n_hit) for r in decontaminate.overlaps(docs, items).collect())
+
+    def found():
+        return by_row((r.id, r.row, r.n_words, r.n_hit, tuple(map(tuple, r.hits)), tuple(r["items"])) for r in decontaminate.overlaps(docs, items).collect())
+
+    want = found()
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
-    assert by_row((r.id, r.n_hit) for r in decontaminate.overlaps(docs, items).collect()) == want
+    assert found() == want and any(w[3] for w in want)
+
+
+def test_a_header_that_all_items_share_counts_for_the_broadcast(spark, monkeypatch):
+    header = " ".join(f"h{k}" for k in range(13))
+    items = spark.createDataFrame([(k, f"{header} own{k}") for k in range(500)], "item_id long, text string")
+    docs = table(spark, [(1, f"so {header} then"), (2, "no"), (1, f"so {header} then")])
+    for most in (decontaminate.BROADCAST_BYTES, 20_000):  # the grams alone are some 20,000 bytes less than their lists
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+        found = decontaminate.overlaps(docs, items)
+        assert sorted((r.id, r.n_hit, len(r["items"])) for r in found.collect()) == [(1, 13, 500), (1, 13, 500), (2, 0, 0)]
 
 
 def test_remove_spans(spark):
