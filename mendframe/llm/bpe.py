@@ -191,7 +191,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
-    """(id, text): ids back to text; a null array is empty."""
+    """(id, text): ids back to text; a null array is empty; null ids stay null;
+    repeated rows give repeated rows; an empty table gives an empty one; other
+    columns are not looked at; a sequence of any length is decoded whole."""
     name = _ship(encoded, path)
 
     def make():

@@ -56,7 +56,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least ``min_docs`` different ids goes, in every id but the least.  A null or
     empty text is one empty line.  Null ids count as one id that precedes all
     others.  Repeated rows are kept and treated alike; an empty table gives an
-    empty one.  Columns that already have one of these three names are replaced.
+    empty one; texts and lines of any length are read whole.  Columns that already have one of these three names are replaced.
     """
     found = _marked(docs.drop("n_lines", "n_dropped", "kept_text"), id_col, text_col, min_docs, min_chars)
     return found.withColumnsRenamed({"__mf_total": "n_lines", "__mf_dropped": "n_dropped", "__mf_kept": "kept_text"})
@@ -65,7 +65,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def rewrite_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", min_docs: int = 2, min_chars: int = 10) -> DataFrame:
     """``docs`` with the same columns, texts without their repeated lines (as
     :func:`drop_repeated_lines` finds them) and ``count_col``, if it is there,
-    the code points of texts that changed."""
+    the code points of texts that changed.  Null texts stay null."""
     found = _marked(docs, id_col, text_col, min_docs, min_chars)
     changed = F.col("__mf_dropped") > 0
     new = {text_col: F.when(changed, F.col("__mf_kept")).otherwise(F.col(text_col))}

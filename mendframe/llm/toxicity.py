@@ -142,12 +142,14 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, fairness: float = FAIRNESS) -> Model:
-    """Fit on at most ``max_rows`` labelled documents, those with the least
-    hashed ids, none of them held out.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, fairness: float = FAIRNESS, max_features: int = MAX_FEATURES) -> Model:
+    """Fit on at most ``max_rows`` labelled rows of at most ``max_features``
+    features, those with the least hashed ids, none of them held out.
 
     Null ids, labels and texts teach nothing; an id labelled twice counts as
-    toxic if either says so.  Without labels of both kinds the model is constant.
+    toxic if either says so; of several rows under one id, that whose text hashes
+    least teaches.  Without labels of both kinds, as in empty tables, the model is
+    constant.  Texts are read whole; other columns are not looked at.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     each = usable.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
@@ -166,12 +168,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return turn
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id")).where("text is not null")
-    rows = cut(texts.join(F.broadcast(sample), "id").select("text", "id", "y").mapInArrow(by_batch(make), "id long, y int, own array<int>, other array<int>"), "sample")
+    # one row an id, however often it is repeated: no more than max_rows reach the driver
+    one = texts.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = cut(one.select("text", "id", "y").mapInArrow(by_batch(make), "id long, y int, own array<int>, other array<int>"), "sample")
     total = rows.agg(F.sum("y").alias("bad"), F.count("*").alias("n")).first()
     n, bad = total["n"], total["bad"] or 0
     if not n or bad in (0, n):
         return Model(0.0 if not n else (4.0 if bad else -4.0), {})
-    chosen = choose(rows, n, bad)
+    chosen = choose(rows, n, bad, max_features)
 
     def narrow(batches):
         wanted = set(chosen)
@@ -200,8 +204,9 @@ def choose(rows: DataFrame, n: int, bad: int, max_features: int = MAX_FEATURES,
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of each row's whole text; empty and null texts get the score
-    of no evidence; repeated rows give repeated rows."""
+    """(id, score) of each row's whole text, whatever its length; empty and null
+    texts get the score of no evidence; null ids stay null; repeated rows give
+    repeated rows; an empty table gives an empty one; other columns are not looked at."""
 
     def make():
         of = model.scorer()
@@ -215,7 +220,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more."""
+    """``docs`` without the rows that score ``threshold`` or more.  Null and empty
+    texts have the score of no evidence; of repeated rows all or none go; an empty
+    table gives an empty one; the columns are those of ``docs``, whatever their names."""
 
     scorers: list = []  # one in each process that runs this
 
