@@ -3,12 +3,14 @@
 Two texts are linked if their sets of ``shingle``-word shingles have a Jaccard
 similarity of at least ``similarity``.  At 0.8 their 64-bit SimHash fingerprints
 differ in some ten bits, far beyond the four that Golay keys can hold, so the
-classes that the fingerprints' links make are joined by bands of least shingle
-hashes, and every candidate is verified on the whole sets.
+fingerprints' links are joined by candidates from bands of least shingle hashes,
+and every candidate is verified on the whole sets.
 
 1. Texts of the same words are one: the least id stands for them.
-2. Texts that share a key (a band, or a class of linked fingerprints) are a bucket.
-   Each member is held against the bucket's least id only, and what passes is one component.
+2. Texts that share a band are a bucket.  Each member is held against the bucket's
+   least id only, texts of one fingerprint against the least of them, and those least
+   ones against each other along the fingerprints' links (operator 1's, which connect
+   all that is linked at a row each); what passes is one component.
 3. Pairs of a bucket that lie in different components by then are all held against
    each other.  Pairs inside a component need not be:
    however many near copies a text has, they cost a row each, not a row a pair,
@@ -103,18 +105,22 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     sketches = cut(_sketches(base, shingle), "sketches")
     texts = cut(sketches.groupBy("node").agg(F.min(F.struct("id", "row")).alias("one"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
 
-    # buckets: a band, or a class of linked fingerprints (the tag keeps the two apart)
-    fps = components(links(texts.select("fp").distinct())).withColumnsRenamed({"node": "fp", "root": "linked"})
-    texts = cut(texts.join(fps, "fp", "left").withColumn("linked", F.coalesce("linked", "fp")), "linked")
-    keyed = texts.select("node", F.explode(F.concat("bands", F.array(F.xxhash64("linked", F.lit("fp"))))).alias("key"))
+    keyed = texts.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least < last").select("key", "least")
     buckets = cut(keyed.join(cut(shared, "keys"), "key"), "buckets")
 
-    chosen = texts.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "one.*")
+    heads = cut(texts.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    alike = texts.join(heads, "fp").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
+    of = [heads.select(F.col("fp").alias(f), F.col("head").alias(k)) for f, k in (("u", "a"), ("v", "b"))]
+    near = links(heads.select("fp")).join(of[0], "u").join(of[1], "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    led = buckets.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    led = cut(led.unionByName(alike).unionByName(near).distinct(), "candidates")
+
+    wanted = buckets.select("node").unionByName(led.select(F.col("u").alias("node"))).unionByName(led.select(F.col("v").alias("node"))).distinct()
+    chosen = texts.join(wanted, "node", "left_semi").select("node", "one.*")
     sets = _sets(base.join(chosen, ["id", "row"]).select("node", "text"), shingle)
     sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
-    led = buckets.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
     passed = cut(_verified(led, sets, similarity), "led")
     part = cut(texts.select("node").join(components(passed), "node", "left").select("node", F.coalesce("root", "node").alias("part")), "parts")
     placed = cut(buckets.select("key", "node").join(part, "node").select("key", "part", "node"), "placed")
@@ -123,7 +129,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     rest = rest.distinct().join(led, ["u", "v"], "left_anti")
     roots = components(passed.unionByName(_verified(rest, sets, similarity)))
     classes = cut(texts.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "classes")
-    for table in (texts, buckets, sets, passed, part, placed):
+    for table in (texts, buckets, heads, led, sets, passed, part, placed):
         forget(table)
     return sketches.select("id", "row", "node").join(classes, "node").select("id", "row", "root")
 
