@@ -11,10 +11,15 @@ and every candidate is verified on the whole sets.
    least id only, texts of one fingerprint against the least of them, and those least
    ones against each other along the fingerprints' links (operator 1's, which connect
    all that is linked at a row each); what passes is one component.
-3. Pairs of a bucket that lie in different components by then are all held against
-   each other.  Pairs inside a component need not be:
-   however many near copies a text has, they cost a row each, not a row a pair,
-   and no link between candidates that would join two components is lost.
+3. A bucket of several parts gets a hub, a text that meets most others.  Its members
+   are held against the hub, and parts are joined again.
+4. Pairs of members that lie in different parts by then are candidates if what sets
+   each apart from the hub is alike enough (:func:`_by_difference`): copies of one
+   text with edits of their own share what they have of the hub, but not their edits,
+   so that they meet no one, and a pair that is similar enough is never passed over.
+   Pairs inside a part need not be held: however many near copies a text has, they
+   cost a row each, not a row a pair, and no link between candidates that would join
+   two components is lost.
 """
 
 from __future__ import annotations
@@ -22,11 +27,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendframe.llm.common import by_batch, cut, forget, given_id, known_id
-from mendframe.llm.components import across, components
+from mendframe.llm.components import components
 from mendframe.llm.simhash import links, majority, shingle_hashes
 
 #: A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.996 at 0.8, 0.9999 at 0.85.
@@ -94,6 +99,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return held.where(F.col("n") >= F.col("all") * F.lit(similarity) - F.lit(1e-9)).select("u", "v")
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The (key, part, node) of ``placed`` whose bucket has several parts."""
+    sizes = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("part").alias("first"), F.max("part").alias("last"))
+    return placed.join(sizes.where("first < last").select("key", "members"), "key")
+
+
+def _hubs(placed: DataFrame, hops: int = 2) -> DataFrame:
+    """(key, hub) of each bucket of several parts: of its members, and of the hubs of
+    buckets that ``hops`` members in a row lead to, the one that meets most others.
+    Buckets of one group so have few hubs, and a member few rows."""
+    rows = cut(_mixed(placed).select("key", "node", "members"), "mixed")
+    hubs = rows.groupBy("node").agg(F.struct(F.sum("members").alias("weight"), F.col("node").alias("hub")).alias("hub"))
+    for _ in range(hops):
+        best = rows.join(hubs, "node").groupBy("key").agg(F.max("hub").alias("hub"))
+        hubs = cut(rows.join(best, "key").groupBy("node").agg(F.max("hub").alias("hub")), "hubs")
+    return rows.join(hubs, "node").groupBy("key").agg(F.max("hub").alias("hub")).select("key", "hub.hub")
+
+
+def _by_difference(led: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): among the (hub, node, part) of ``led``, pairs of one hub and of
+    different parts; all that are similar enough are there.  A part holds all of a
+    hub's nodes that are similar enough to it.
+
+    Let D(u) be the shingles that one of u and the hub has and the other has not.
+    u and v are similar enough if they differ in at most c (|u| + |v|) shingles, c =
+    (1 - s) / (1 + s), that is if |D(u) & D(v)| is t = (x(u) + x(v)) / 2 at least, for
+    x(u) = |D(u)| - c |u|.  Then the |D(u)| - t + 1 rarest of D(u) and as many of D(v)
+    as that gives for v have a shingle in common.  Let x(u) <= x(v).  Of two parts one
+    is not the hub's, so x(v) > c |hub| and t is positive; t >= x(u) too.  u and v have
+    at most c (|u| + |v|) between D(u) and D(v), and |u| <= |v| / s, so t >= x(v) - c |v| / s.
+    """
+    c = (1 - similarity) / (1 + similarity)
+    hubs = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_set"))
+    apart = F.concat(F.array_except("hub_set", "shingles"), F.array_except("shingles", "hub_set"))
+    held = led.join(hubs, "hub").join(sets, "node").select("hub", "node", "part", F.size("shingles").alias("n"), (F.lit(c) * F.size("hub_set")).alias("far"), apart.alias("apart"))
+    held = held.withColumn("x", F.size("apart") - F.lit(c) * F.col("n"))
+
+    def rarest(least):
+        return F.size("apart") + 1 - F.greatest(F.lit(1), F.ceil(least - F.lit(1e-9)))
+
+    low = rarest((F.col("x") + F.greatest("x", "far")) / 2)
+    high = F.when(F.col("x") > F.col("far") - F.lit(1e-9), rarest(F.col("x") - F.lit(c / similarity) * F.col("n"))).otherwise(0)
+    shown = cut(held.select("hub", "node", "part", "n", "x", low.alias("low"), high.alias("high"), F.explode("apart").alias("shingle")), "apart")
+    counts = shown.groupBy("hub", "shingle").agg(F.count("*").alias("times")).where("times > 1")
+    order = Window.partitionBy("hub", "node").orderBy(F.coalesce("times", F.lit(1)), "shingle")
+    ranked = shown.join(counts, ["hub", "shingle"], "left").withColumn("rank", F.row_number().over(order)).where("times > 1 and rank <= greatest(low, high)")
+    ranked = cut(ranked, "ranked")
+    one, two = (ranked.where(f"rank <= {most}").select("hub", "shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "part", "n", "x"))) for most, k in (("low", "u"), ("high", "v")))
+    sized = (F.col("n_u") >= F.col("n_v") * F.lit(similarity) - F.lit(1e-9)) & (F.col("n_v") >= F.col("n_u") * F.lit(similarity) - F.lit(1e-9))
+    met = one.join(two, ["hub", "shingle"]).where((F.col("part_u") != F.col("part_v")) & (F.col("x_u") <= F.col("x_v")) & sized)
+    return met.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(known_id(id_col).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
@@ -121,15 +179,23 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     sets = _sets(base.join(chosen, ["id", "row"]).select("node", "text"), shingle)
     sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
-    passed = cut(_verified(led, sets, similarity), "led")
-    part = cut(texts.select("node").join(components(passed), "node", "left").select("node", F.coalesce("root", "node").alias("part")), "parts")
-    placed = cut(buckets.select("key", "node").join(part, "node").select("key", "part", "node"), "placed")
-    rest = across(placed)
+    def parts(passed: DataFrame) -> DataFrame:
+        """(key, part, node) of the members of buckets."""
+        part = texts.select("node").join(components(passed), "node", "left").select("node", F.coalesce("root", "node").alias("part"))
+        return cut(buckets.select("key", "node").join(part, "node").select("key", "part", "node"), "placed")
 
-    rest = rest.distinct().join(led, ["u", "v"], "left_anti")
+    passed = cut(_verified(led, sets, similarity), "led")
+    placed = parts(passed)
+    hubs = cut(_hubs(placed), "hubs")
+    met = cut(placed.join(hubs, "key").where("hub <> node").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct(), "met")
+    passed = cut(passed.unionByName(_verified(met.join(led, ["u", "v"], "left_anti"), sets, similarity)), "passed")
+    again = parts(passed)
+    members = cut(_mixed(again).join(hubs, "key").select("hub", "node", "part").distinct(), "members")
+
+    rest = _by_difference(members, sets, similarity).join(led.unionByName(met), ["u", "v"], "left_anti")
     roots = components(passed.unionByName(_verified(rest, sets, similarity)))
     classes = cut(texts.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "classes")
-    for table in (texts, buckets, heads, led, sets, passed, part, placed):
+    for table in (texts, buckets, heads, led, sets, met, passed, placed, hubs, again, members):
         forget(table)
     return sketches.select("id", "row", "node").join(classes, "node").select("id", "row", "root")
 

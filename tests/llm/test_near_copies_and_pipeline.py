@@ -70,6 +70,37 @@ def test_keep_one_near_copy(spark):
     assert nearcopies.keep_one(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("similarity", [0.6, 0.8, 0.9])
+def test_differences_from_a_hub_lose_no_pair(spark, similarity):
+    rng = random.Random(7)
+    hub = set(rng.sample(range(10**6), 120))
+    sets = {0: hub, 1: set(rng.sample(sorted(hub), 100)), 2: set(range(10**6, 10**6 + 50)), 3: hub | {5 * 10**6}}
+    for k in range(4, 160):  # copies of the hub, of a copy, and of a text of its own, of many sizes
+        base = sorted(sets[rng.choice([0, 0, 1, 2, max(4, k // 2) if k > 8 else 0])])
+        kept = rng.sample(base, rng.randrange(len(base) * 3 // 4, len(base) + 1))
+        sets[k] = set(kept) | set(rng.sample(range(2 * 10**6, 2 * 10**6 + 400), rng.randrange(25)))
+
+    def alike(a, b):
+        both = len(sets[a] & sets[b])
+        return both >= similarity * (len(sets[a]) + len(sets[b]) - both) - 1e-9
+
+    part = {k: 0 if alike(0, k) else k for k in sets}
+    led = spark.createDataFrame([(0, k, p) for k, p in part.items()], "hub long, node long, part long")
+    table_ = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "node long, shingles array<long>")
+    found = [(r.u, r.v) for r in nearcopies._by_difference(led, table_, similarity).collect()]
+    wanted = {(a, b) for a in sets for b in sets if a < b and part[a] != part[b] and alike(a, b)}
+    assert len(found) == len(set(found)) and wanted and wanted <= set(found)
+
+
+def test_copies_with_edits_of_their_own_meet_no_one(spark):
+    rng = random.Random(5)
+    hub = rng.sample(range(10**6), 130)
+    sets = {0: hub} | {k: rng.sample(hub, 112) + [k * 10**6 + n for n in range(25)] for k in range(1, 401)}
+    led = spark.createDataFrame([(0, k, k) for k in sets], "hub long, node long, part long")
+    table_ = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "node long, shingles array<long>")
+    assert nearcopies._by_difference(led, table_, 0.8).count() == 0
+
+
 def test_near_copies_of_one_text_cost_a_row_each(spark):
     rng = random.Random(3)
     words = prose(rng, 300).split(" ")
