@@ -99,22 +99,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return held.where(F.col("n") >= F.col("all") * F.lit(similarity) - F.lit(1e-9)).select("u", "v")
 
 
-def _mixed(placed: DataFrame) -> DataFrame:
-    """The (key, part, node) of ``placed`` whose bucket has several parts."""
-    sizes = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("part").alias("first"), F.max("part").alias("last"))
-    return placed.join(sizes.where("first < last").select("key", "members"), "key")
+def _mixed(placed: DataFrame, by: str) -> DataFrame:
+    """The rows of ``placed`` whose ``by`` has several parts, with its ``members``."""
+    sizes = placed.groupBy(by).agg(F.count("*").alias("members"), F.min("part").alias("first"), F.max("part").alias("last"))
+    return placed.join(sizes.where("first < last").select(by, "members"), by)
 
 
-def _hubs(placed: DataFrame, hops: int = 2) -> DataFrame:
-    """(key, hub) of each bucket of several parts: of its members, and of the hubs of
-    buckets that ``hops`` members in a row lead to, the one that meets most others.
-    Buckets of one group so have few hubs, and a member few rows."""
-    rows = cut(_mixed(placed).select("key", "node", "members"), "mixed")
+def _hubbed(placed: DataFrame, hops: int = 1) -> DataFrame:
+    """(key, hub, node) of each bucket of several parts.  The hub is, of its members
+    and of those of the buckets that ``hops`` members in a row lead to, the one that
+    meets most others: buckets of one group so have few hubs, and a member few rows."""
+    rows = cut(_mixed(placed, "key").select("key", "node", "members"), "mixed")
     hubs = rows.groupBy("node").agg(F.struct(F.sum("members").alias("weight"), F.col("node").alias("hub")).alias("hub"))
     for _ in range(hops):
         best = rows.join(hubs, "node").groupBy("key").agg(F.max("hub").alias("hub"))
         hubs = cut(rows.join(best, "key").groupBy("node").agg(F.max("hub").alias("hub")), "hubs")
-    return rows.join(hubs, "node").groupBy("key").agg(F.max("hub").alias("hub")).select("key", "hub.hub")
+    best = rows.join(hubs, "node").groupBy("key").agg(F.max("hub").alias("hub"))
+    return rows.join(best, "key").select("key", "hub.hub", "node")
 
 
 def _by_difference(led: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -179,23 +180,23 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     sets = _sets(base.join(chosen, ["id", "row"]).select("node", "text"), shingle)
     sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
-    def parts(passed: DataFrame) -> DataFrame:
-        """(key, part, node) of the members of buckets."""
+    def parted(rows: DataFrame, passed: DataFrame) -> DataFrame:
+        """``rows`` with the part of each node."""
         part = texts.select("node").join(components(passed), "node", "left").select("node", F.coalesce("root", "node").alias("part"))
-        return cut(buckets.select("key", "node").join(part, "node").select("key", "part", "node"), "placed")
+        return cut(rows.join(part, "node"), "placed")
 
     passed = cut(_verified(led, sets, similarity), "led")
-    placed = parts(passed)
-    hubs = cut(_hubs(placed), "hubs")
-    met = cut(placed.join(hubs, "key").where("hub <> node").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct(), "met")
+    placed = parted(buckets.select("key", "node"), passed)
+    hubbed = cut(_hubbed(placed), "hubbed")
+    met = cut(hubbed.where("hub <> node").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct(), "met")
     passed = cut(passed.unionByName(_verified(met.join(led, ["u", "v"], "left_anti"), sets, similarity)), "passed")
-    again = parts(passed)
-    members = cut(_mixed(again).join(hubs, "key").select("hub", "node", "part").distinct(), "members")
+    again = parted(hubbed.select("hub", "node").distinct(), passed)
+    members = cut(_mixed(again, "hub").select("hub", "node", "part"), "members")
 
     rest = _by_difference(members, sets, similarity).join(led.unionByName(met), ["u", "v"], "left_anti")
     roots = components(passed.unionByName(_verified(rest, sets, similarity)))
     classes = cut(texts.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "classes")
-    for table in (texts, buckets, heads, led, sets, met, passed, placed, hubs, again, members):
+    for table in (texts, buckets, heads, led, sets, met, passed, placed, hubbed, again, members):
         forget(table)
     return sketches.select("id", "row", "node").join(classes, "node").select("id", "row", "root")
 
