@@ -176,8 +176,8 @@ SPAN = "struct<status:string,start:int,end:int>"
 EVIDENCE = "array<struct<path:string,value_preview:string,status:string,start:int,end:int,token_start:int,token_end:int>>"
 
 
-def align(text: Column | str, value: Column | str, fuzzy: bool = True, threshold: float = 0.75, lesser: bool = True) -> Column:
-    return batched(lambda x, v: None if v is None else dict(zip(("status", "start", "end"), X.align(x, v, fuzzy, threshold, lesser), strict=True)), SPAN, text, value)
+def align(text: Column | str, value: Column | str, fuzzy: bool = True, threshold: float = 0.75, lesser: bool = True, in_order: bool = False) -> Column:
+    return batched(lambda x, v: None if v is None else dict(zip(("status", "start", "end"), X.align(x, v, fuzzy, threshold, lesser, in_order=in_order), strict=True)), SPAN, text, value)
 
 
 def ground(text: str, value: Any, offset: int = 0, unicode: bool = False, **options) -> list[dict]:

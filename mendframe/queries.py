@@ -371,14 +371,15 @@ FROM w"""
 def align_all_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, whatever its words: its second word, and three tokens of
     its middle in capitals, with a foreign word among them and behind them (null
-    in documents of fewer than four tokens)."""
+    in documents of fewer than four tokens).  A fuzzy window counts the tokens that
+    stand in the same order, as the SQL does, also where tokens repeat."""
     df = wide(spark, sf_dir, "documents").withColumn("own", native.token_texts(F.col("text")))
     df = df.withColumn("t", F.when(F.size("own") >= 4, F.slice("own", F.greatest(F.lit(1), F.floor(F.size("own") / 2).cast("int")), 3)))
     cased = F.translate(F.array_join("t", " "), LOWER, UPPER)
     mixed = F.when(F.col("t").isNotNull(), F.concat_ws(" ", F.col("t")[0], F.col("t")[1], F.lit(FOREIGN), F.col("t")[2]))
     values = {"word": F.nullif(F.split_part("text", F.lit(" "), F.lit(2)), F.lit("")), "cased": cased, "mixed": F.translate(mixed, LOWER, UPPER), "behind": F.concat(cased, F.lit(f" {FOREIGN}")), "foreign": F.lit(FOREIGN)}
     df = df.select("doc_id", "text", *(v.alias(k) for k, v in values.items()))
-    df = df.select("doc_id", "text", M.align("text", "word").alias("w"), M.align("text", "cased").alias("c"), M.align("text", "mixed").alias("m"), M.align("text", "behind", lesser=False).alias("b"), M.align("text", "foreign").alias("f"))
+    df = df.select("doc_id", "text", M.align("text", "word").alias("w"), M.align("text", "cased").alias("c"), M.align("text", "mixed").alias("m"), M.align("text", "behind", lesser=False, in_order=True).alias("b"), M.align("text", "foreign").alias("f"))
 
     def token(a: str) -> Column:
         return F.when(F.col(a)["start"].isNotNull(), F.size(native.token_texts(F.col("text").substr(F.lit(1), F.col(a)["start"])))).cast("long")

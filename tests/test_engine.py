@@ -189,6 +189,20 @@ def test_alignment_of_all_documents_reaches_every_status(spark):
     assert len({r.cased_token for r in rows}) > 1 or len({r.lesser_token for r in rows}) > 1
 
 
+def test_alignment_of_documents_with_repeated_tokens(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    rng = random.Random(5)
+    texts = ["of the , the the in the the the x y , z", *(" ".join(rng.choices("ab,", k=rng.randrange(1, 14))) for _ in range(300)), "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["align_all_values"]).fetchall()
+    assert sorted(map(tuple, queries.QUERIES["align_all_values"](spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+
+
 def test_short_items_are_found_verbatim(spark, tmp_path):
     import duckdb
 
