@@ -7,9 +7,10 @@ Every function takes and returns columns, never fails a job on bad content (an
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -160,8 +161,47 @@ def markdown_blocks(text: Column | str) -> Column:
     return batched(lambda x: blocks(x)[0], STRINGS, text)
 
 
+TOKENS = "array<struct<text:string,start:int,end:int,first_after_newline:boolean>>"
+#: The most rows and, but for the last row, tokens that are given back at once.
+TOKEN_ROWS, TOKENS_AT_ONCE = 256, 1 << 17
+
+
+def _token_array(found: list, kind: pa.ListType) -> pa.Array:
+    """The columns of :func:`X.token_columns` of some rows as one array."""
+    some = [x for x in found if x is not None]
+    sizes, starts, ends, lines = (np.concatenate([x[k] for x in some]) if some else np.empty(0, np.int64) for k in (1, 2, 3, 4))
+    places = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    texts = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(places), pa.py_buffer(b"".join(x[0] for x in some)))
+    columns = [texts, pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32)), pa.array(lines.astype(bool))]
+    rows = np.concatenate([[0], np.cumsum([0 if x is None else len(x[1]) for x in found])]).astype(np.int32)
+    items = pa.StructArray.from_arrays(columns, fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(pa.array(rows), items, type=kind, mask=pa.array([x is None for x in found], pa.bool_()))
+
+
+def _token_arrays(arrays: Iterator[pa.Array], unicode: bool, kind: pa.ListType) -> Iterator[pa.Array]:
+    for array in arrays:
+        for at in range(0, max(1, len(array)), TOKEN_ROWS):
+            found, size = [], 0
+            for x in array.slice(at, TOKEN_ROWS).to_pylist():
+                found.append(None if x is None else X.token_columns(x, unicode))
+                size += 0 if x is None else len(found[-1][1])
+                if size >= TOKENS_AT_ONCE:
+                    yield _token_array(found, kind)
+                    found, size = [], 0
+            if found or not len(array):
+                yield _token_array(found, kind)
+
+
 def tokens(text: Column | str, unicode: bool = False) -> Column:
-    return batched(lambda x: [dict(zip(("text", "start", "end", "first_after_newline"), t, strict=True)) for t in X.tokens(x, unicode)], "array<struct<text:string,start:int,end:int,first_after_newline:boolean>>", text)
+    """Every token of a text.  A text makes many: they are given back a bounded
+    number at a time, not for all rows of an Arrow batch at once."""
+    returns = T._parse_datatype_string(TOKENS)
+    kind = to_arrow_type(returns)
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _token_arrays(arrays, unicode, kind)
+
+    return F.arrow_udf(run, returns)(text)
 
 
 def chunks(text: Column | str, max_chars: int | None = None, overlap: int = 0, unicode: bool = False) -> Column:

@@ -309,8 +309,8 @@ def token_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, CAST(length(regexp_replace(html, '\\s', '', 'g')) AS BIGINT) AS chars FROM pages")
 def unicode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grapheme tokens cover all that isn't white space."""
-    total = F.aggregate(M.tokens("html", unicode=True), F.lit(0).cast("long"), lambda a, t: a + F.length(F.regexp_replace(t["text"], r"\s", "")))
-    return wide(spark, sf_dir, "pages").select("page_id", total.alias("chars"))
+    solid = F.regexp_replace(F.array_join(M.tokens("html", unicode=True)["text"], ""), r"\s", "")
+    return wide(spark, sf_dir, "pages").select("page_id", F.length(solid).cast("long").alias("chars"))
 
 
 @query(r"SELECT doc_id, CAST(length(regexp_replace(text, '[\s]', '', 'g')) AS BIGINT) AS solid FROM documents")

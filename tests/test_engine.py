@@ -203,6 +203,22 @@ def test_alignment_of_documents_with_repeated_tokens(spark, tmp_path):
     assert sorted(map(tuple, queries.QUERIES["align_all_values"](spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
 
 
+def test_tokens_of_a_batch_are_given_back_in_parts(spark):
+    import pyarrow as pa
+
+    from mendframe.functions import columns
+
+    kind = columns.to_arrow_type(columns.T._parse_datatype_string(columns.TOKENS))
+    one = {"text": "a", "start": 0, "end": 1, "first_after_newline": False}
+    other = {"text": "\u00e9", "start": 2, "end": 3, "first_after_newline": True}
+    texts = ["a\n\u00e9", None, "", *("x" * 50_000 if k % 3 == 0 else None if k % 3 == 1 else f"{k} \u00e9" for k in range(900))]
+    parts = list(columns._token_arrays(iter([pa.array(texts), pa.array([], pa.string())]), True, kind))
+    assert max(len(p.values) for p in parts) < columns.TOKENS_AT_ONCE + 50_000 and [x for p in parts for x in p.to_pylist()][:3] == [[one, other], None, []]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    got = {r.k: r.n for r in df.select("k", F.when(F.col("t").isNotNull(), F.size(columns.tokens("t", unicode=True))).alias("n")).collect()}
+    assert got == {k: None if t is None else len("".join(t.split())) for k, t in enumerate(texts)}
+
+
 def test_short_items_are_found_verbatim(spark, tmp_path):
     import duckdb
 

@@ -272,3 +272,20 @@ def test_best_window_is_that_of_comparing_all():
         rated = [(sum(b.size for b in SequenceMatcher(None, source[k : k + n], target, autojunk=False).get_matching_blocks()) / n, -k) for k in range(len(source) - n + 1)]
         want = -max(rated)[1] if rated and max(rated)[0] >= threshold else None
         assert X.most_alike(source, target, threshold) == want
+
+
+def test_columns_of_tokens_are_the_tokens():
+    import random
+
+    single = [chr(k) for k in range(0x110000) if X.SINGLE.fullmatch(chr(k))]
+    assert {c for c in single if c.isspace()} == set(map(chr, X.SINGLE_SPACES.tolist()))
+    rng = random.Random(3)
+    joining = ["e\u0301", "\u200d", "\U0001f468\u200d\U0001f469", "\U0001f1e9\U0001f1ea", "\uac00\u11a8", "\u0600", "\r\n", "\ufe0f"]
+    texts = ["", " ", "\r\n\r", *("".join(rng.choices([*"ab \n\r\u00a9\u00ad\u3030", rng.choice(single)], k=40)) for _ in range(300))]
+    texts += ["".join(rng.sample(single, 3000)), *("".join(rng.choices([*joining, *"a \n"], k=30)) for _ in range(100))]
+    for text in texts:
+        for unicode in (True, False):
+            joined, sizes, starts, ends, lines = X.token_columns(text, unicode)
+            stops = sizes.cumsum().tolist()
+            kept = [joined[b - n : b].decode() for b, n in zip(stops, sizes.tolist(), strict=True)]
+            assert list(zip(kept, starts.tolist(), ends.tolist(), lines.tolist(), strict=True)) == X.tokens(text, unicode)
