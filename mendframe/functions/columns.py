@@ -103,13 +103,34 @@ def parse_candidates(text: Column | str, kind: Kind, options: ParseOptions = Par
     flags, score, error); ``F.inline`` makes it a table.  Number -1 is the text as
     it stands, and a score of -1 a failure."""
 
-    def run(x):
+    returns = T._parse_datatype_string(TRACE)
+    arrow = to_arrow_type(returns)
+
+    def call(texts: pa.Array) -> pa.Array:
+        return _trace_array(texts, lambda x: C.traced(x, kind, options, coerce), arrow)
+
+    return F.arrow_udf(call, returns)(text)
+
+
+def _trace_array(texts: pa.Array, run: Callable[[str], list], arrow: pa.ListType) -> pa.Array:
+    """The traces of some texts; rows that candidates of a text share are converted once."""
+    numbers, which, rows, ends = [], [], [], [0]
+    for x in texts.to_pylist():
         try:
-            return C.trace(x, kind, options, coerce)
+            found = () if x is None else run(x)
         except (ValueError, RecursionError):
-            return []
-
-    return batched(run, TRACE, text)
+            found = ()
+        places: dict[int, int] = {}
+        for k, row in found:
+            if (at := places.get(id(row))) is None:
+                at = places[id(row)] = len(rows)
+                rows.append(row)
+            numbers.append(k)
+            which.append(at)
+        ends.append(len(which))
+    every = pa.array(rows, type=arrow.value_type).take(pa.array(which, pa.int64())).flatten()
+    items = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), *every[1:]], fields=list(arrow.value_type))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items, type=arrow, mask=texts.is_null())
 
 
 def coerce_candidates(value_json: Column | str, kind: Kind, options: C.CoerceOptions = C.CoerceOptions()) -> Column:

@@ -289,3 +289,44 @@ def test_columns_of_tokens_are_the_tokens():
             stops = sizes.cumsum().tolist()
             kept = [joined[b - n : b].decode() for b, n in zip(stops, sizes.tolist(), strict=True)]
             assert list(zip(kept, starts.tolist(), ends.tolist(), lines.tolist(), strict=True)) == X.tokens(text, unicode)
+
+
+def test_values_that_stand_in_a_text_again_are_read_as_if_alone():
+    import random
+
+    from mendframe.kernel.repair import Repair
+
+    class Plain(Repair):  # remembers nothing
+        last = property(lambda self: "", lambda self, value: None)
+
+    rng = random.Random(8)
+    pieces = ["{a: 1} ", "{a: 1", "}", "[x, y]", "{'a': \"b\"}", '{"a": "b" ', "{a: b c, d: e}", "{a: b / c}", "{a: b // c\n}", "{a: # x\n1}", '{"a": "b"c"}', "[[1], {k: ```x\ny```}]", '{a: """t"""}', ",", ":", " ", '"', "'", "//", "\n", "[1, 2", "]", "{a: 1, b}"]
+    hits = 0
+    for _ in range(3000):
+        some = rng.choices(pieces, k=rng.randrange(1, 4))
+        text = "".join(rng.choice(some) for _ in range(rng.randrange(2, 12)))
+        remembering = Repair(text)
+        assert remembering.run() == Plain(text).run()
+        hits += len({id(v) for v, _ in remembering.found if isinstance(v, dict)}) < sum(isinstance(v, dict) for v, _ in remembering.found)
+    assert hits > 100
+
+
+def test_equal_readings_of_a_text_are_made_once(monkeypatch):
+    made = []
+    plain = C.attempt
+    monkeypatch.setattr(C, "attempt", lambda c, *rest: made.append(c) or plain(c, *rest))
+    found = C.trace("k1 " + "{a: 1} " * 70, list_of(ANY))
+    assert len(found) == 65 and len(made) == 1 and [r["idx"] for r in found] == list(range(-1, 64))
+    assert {r["result_json"] for r in found[1:]} == {'[{"a": 1}]'} and {tuple(r["flags"]) for r in found[1:]} == {("fixed_json", "single_to_array")}
+    several = C.trace("x {a: 1} {a: 1} {b: 2} {a: 1}", list_of(ANY))
+    assert [r["value_json"] for r in several[1:5]] == ['{"a": 1}', '{"a": 1}', '{"b": 2}', '{"a": 1}'] and len(made) == 6
+    import pyarrow as pa
+
+    from mendframe.functions import columns
+
+    strings = pa.list_(pa.string())
+    kind = pa.list_(pa.struct([("idx", pa.int32()), *((k, pa.string()) for k in ("value_json", "completion")), ("fixes", strings), ("result_json", pa.string()), ("flags", strings), ("score", pa.int32()), ("error", pa.string())]))
+    texts = ["x {a: 1} {a: 1} {b: 2} {a: 1}", None, "[1]", "", "{a: 1} " * 80]
+    assert columns._trace_array(pa.array(texts), lambda x: C.traced(x, list_of(ANY)), kind).to_pylist() == [None if x is None else C.trace(x, list_of(ANY)) for x in texts]
+    only = ParseOptions(allow_as_string=False)
+    assert columns._trace_array(pa.array(["", "{}"]), lambda x: C.traced(x, list_of(ANY), only), kind).to_pylist() == [[], C.trace("{}", list_of(ANY))]
