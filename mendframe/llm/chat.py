@@ -20,6 +20,7 @@ comparison (``lookback=None`` renders every prefix from the start).
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
@@ -49,8 +50,6 @@ def marked(turns: Sequence[Turn]) -> str:
 
 
 Span = tuple[Turn, str, int, int, bool, bool]
-#: Characters of a conversation that are held for whole renderings.
-MOST_CHARS = 1 << 26
 
 
 def _common(a: str, b: str) -> int:
@@ -81,15 +80,17 @@ def _whole(turns: Sequence[Turn], known: int, render: Callable[[Sequence[Turn]],
         yield span
 
 
-def spans(turns: Iterator[Turn], render: Callable[[Sequence[Turn]], str], lookback: int | None = 1, most_chars: int = MOST_CHARS) -> Iterator[Span]:
+def spans(turns: Iterator[Turn], render: Callable[[Sequence[Turn]], str], lookback: int | None = 1, most_chars: int | None = None) -> Iterator[Span]:
     """For each turn: (turn, what it adds, start and end of its content therein,
     whether it rewrote what stood before, whether it was compared with the whole).
     If it did, what it adds is all that follows the common beginning.
 
-    A conversation of more than ``most_chars`` rendered characters is held no longer:
-    its later turns are rendered behind ``lookback`` turns only and given as not
-    compared, so that memory stays bounded, unless the template was found to look farther."""
+    A conversation is held whole, however long it is.  Only if ``most_chars`` is given,
+    one of more rendered characters is held no longer: its later turns are rendered
+    behind ``lookback`` turns only and given as not compared, unless the template was
+    found to look farther."""
     held: list[Turn] = []
+    most = math.inf if most_chars is None else most_chars
     agreed, known, pending, chars, far, lost = render([]), 0, [], 0, lookback is None, False
 
     def settle() -> Iterator[Span]:
@@ -116,15 +117,15 @@ def spans(turns: Iterator[Turn], render: Callable[[Sequence[Turn]], str], lookba
         held.append(turn)
         pending.append(span)
         chars += len(span[1])
-        if len(held) & (len(held) - 1) == 0 or chars > most_chars:
+        if len(held) & (len(held) - 1) == 0 or chars > most:
             yield from settle()
-            if chars > most_chars and not far:
+            if chars > most and not far:
                 lost, agreed, held = True, "", held[-lookback:] if lookback else []
     if pending:
         yield from settle()
 
 
-def format_conversations(turns: DataFrame, render: Callable[[Sequence[Turn]], str] = marked, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn: Sequence[str] = ("assistant",), lookback: int | None = 1, most_chars: int = MOST_CHARS) -> DataFrame:
+def format_conversations(turns: DataFrame, render: Callable[[Sequence[Turn]], str] = marked, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn: Sequence[str] = ("assistant",), lookback: int | None = 1, most_chars: int | None = None) -> DataFrame:
     """One row a turn, dealt by conversation and in order: (conv, turn, formatted,
     loss_start, loss_end, rewrites, checked).
 
@@ -132,7 +133,7 @@ def format_conversations(turns: DataFrame, render: Callable[[Sequence[Turn]], st
     conversation (unless a turn rewrites history).  The loss span, in code
     points of ``formatted``, is the content of turns whose role is in ``learn``
     and empty for others.  ``lookback`` and ``most_chars`` are as in :func:`spans`; ``checked``
-    is false for turns that lie beyond ``most_chars`` of one conversation.  Null roles and texts are empty; null turns come
+    is false only for turns that lie beyond a given ``most_chars`` of one conversation.  Null roles and texts are empty; null turns come
     first, ties by role and text, repeated rows are turns of their own; turns
     under a null conversation form one; an empty table gives an empty one;
     other columns are not looked at.

@@ -110,6 +110,15 @@ def test_turns_beyond_the_bound_are_given_as_unchecked(spark):
     assert "".join(r.formatted for r in got[:90]) == chat.marked([("user", f"t{k}") for k in range(90)])
 
 
+def test_long_conversations_are_compared_whole():
+    def render(ts):  # its head tells of the length
+        return f"[{len(ts) > 66}]" + "".join([f"<{r}>{t}" for r, t in ts])
+
+    found = list(chat.spans(iter([("user", "x" * (1 << 20))] * 70), render))
+    assert [k for k, x in enumerate(found) if x[4]] == [66] and all(x[5] for x in found)
+    assert found[66][1].startswith("True]<user>") and len(found[66][1]) > 66 << 20 and {len(x[1]) for x in found[67:]} == {(1 << 20) + 6}
+
+
 # --- 9 Toxicity
 
 
