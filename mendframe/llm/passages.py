@@ -24,7 +24,7 @@ sides of the joins are written tables, so that its rows can be split over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -123,23 +123,45 @@ def _picks(docs: DataFrame, width: int, phrase: int) -> DataFrame:
 
         return turn
 
-    return docs.mapInArrow(by_batch(make), "id long, row long, phrase long, run long, start int, windows int, at int")
+    return docs.mapInArrow(_in_parts(make), "id long, row long, phrase long, run long, start int, windows int, at int")
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, list[bytes], list[dict]]]]:
+#: Rows of an Arrow batch that are made Python objects at a time.
+ROWS_AT_ONCE = 256
+
+
+def _records(lists: pa.ListArray) -> list[np.ndarray]:
+    """Lists of structs of integers as an array of records for each row, empty for null."""
+    items = lists.flatten()
+    every = np.empty(len(items), dtype=[(f.name, np.int32) for f in items.type])
+    for k, column in zip(every.dtype.names, items.flatten(), strict=True):
+        every[k] = column.to_numpy()
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy()).tolist()
+    return [every[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _in_parts(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> Callable:
+    """:func:`by_batch` over a few rows of a batch at a time: they hold many picks or runs."""
+    run = by_batch(make)
+    return lambda batches: run(b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE))
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, list[bytes], np.ndarray]]]:
     """Bounded groups of (id, row, words, picks); a repeated row is taken once."""
     shard, size, last = [], 0, None
     for batch in batches:
-        for id_, row, text, picks in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if (id_, row) == last:
-                continue
-            last = (id_, row)
-            w = words_of(text)
-            shard.append((id_, row, w, picks))
-            size += len(w)
-            if size >= SHARD_WORDS:
-                yield shard
-                shard, size = [], 0
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(at, ROWS_AT_ONCE)
+            for id_, row, text, picks in zip(*(part.column(k).to_pylist() for k in range(3)), _records(part.column(3)), strict=True):
+                if (id_, row) == last:
+                    continue
+                last = (id_, row)
+                w = words_of(text)
+                shard.append((id_, row, w, picks))
+                size += len(w)
+                if size >= SHARD_WORDS:
+                    yield shard
+                    shard, size = [], 0
     if shard:
         yield shard
 
@@ -209,13 +231,13 @@ def _kept(joined: DataFrame, width: int) -> DataFrame:
     def make():
         def turn(batch: pa.RecordBatch) -> pa.RecordBatch:
             totals, removed, kept = [], [], []
-            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, runs in zip(batch.column(1).to_pylist(), _records(batch.column(2)), strict=True):
                 w = words_of(text)
                 totals.append(len(w))
-                if runs:
+                if len(runs):
                     marks = np.zeros(len(w) + 1, dtype=np.int32)
-                    np.add.at(marks, [x["start"] for x in runs], 1)
-                    np.add.at(marks, [x["start"] + x["windows"] + width - 1 for x in runs], -1)
+                    np.add.at(marks, runs["start"], 1)
+                    np.add.at(marks, runs["start"] + runs["windows"] + width - 1, -1)
                     w = [w[k] for k in np.nonzero(np.cumsum(marks[:-1]) == 0)[0].tolist()]
                 removed.append(totals[-1] - len(w))
                 kept.append(b" ".join(w).decode())
@@ -223,7 +245,7 @@ def _kept(joined: DataFrame, width: int) -> DataFrame:
 
         return turn
 
-    return joined.select("id", "text", "runs").mapInArrow(by_batch(make), "id long, n_words long, n_removed long, kept_text string")
+    return joined.select("id", "text", "runs").mapInArrow(_in_parts(make), "id long, n_words long, n_removed long, kept_text string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, phrase: int = PHRASE) -> DataFrame:

@@ -651,3 +651,21 @@ def test_rewritten_lines(docs):
 def test_registered_queries_have_their_names(spark):
     assert [int(k[2:].split("_")[0]) for k in queries.QUERIES] == list(range(1, 11))
     assert F
+
+
+def test_rows_of_passages_are_made_objects_a_few_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    lists = pa.array([[{"start": 3, "windows": 2}], None, [], [{"start": k, "windows": 1} for k in range(5)]])
+    for part, want in ((lists, [[(3, 2)], [], [], [(k, 1) for k in range(5)]]), (lists.slice(1, 3), [[], [], [(k, 1) for k in range(5)]]), (lists.slice(0, 0), [])):
+        assert [x.tolist() for x in passages._records(part)] == want
+
+    monkeypatch.setattr(passages, "ROWS_AT_ONCE", 3)
+    pick = {"start": 0, "windows": 2, "at": 1, "votes": 1}
+    rows = [(k, 0, f"a b c d {k}", [pick] * (k % 4)) for k in range(10)]
+    batch = pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=["id", "row", "text", "picks"])
+    seen = [(i, w, [{k: int(x[k]) for k in pick} for x in p]) for shard in passages._shards(iter([batch, batch.slice(9)])) for i, _, w, p in shard]
+    assert seen == [(k, f"a b c d {k}".encode().split(), [pick] * (k % 4)) for k in range(10)]
+    sizes = []
+    run = passages._in_parts(lambda: lambda b: sizes.append(b.num_rows) or b)
+    assert sum(b.num_rows for b in run(iter([batch]))) == 10 and sizes == [3, 3, 3, 1]
