@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from mendframe.llm.common import by_batch, cut, forget, given_id, known_id
 from mendframe.llm.components import components
-from mendframe.llm.simhash import links, majority, shingle_hashes
+from mendframe.llm.simhash import majority, shingle_hashes, wide_links
 
 #: A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.996 at 0.8, 0.9999 at 0.85.
 BANDS, ROWS = 24, 7
@@ -171,7 +171,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     heads = cut(texts.groupBy("fp").agg(F.min("node").alias("head")), "heads")
     alike = texts.join(heads, "fp").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
     of = [heads.select(F.col("fp").alias(f), F.col("head").alias(k)) for f, k in (("u", "a"), ("v", "b"))]
-    near = links(heads.select("fp")).join(of[0], "u").join(of[1], "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    near = wide_links(heads.select("fp")).join(of[0], "u").join(of[1], "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
     led = buckets.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
     led = cut(led.unionByName(alike).unionByName(near).distinct(), "candidates")
 

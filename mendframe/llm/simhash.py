@@ -17,15 +17,18 @@ pair are pigeonholed over them.
 
 A key has 31 to 33 bits, so candidates stay few.  Only distinct fingerprints have
 keys: copies of a text, however many, are one row.  The fingerprints that share a
-key are a bucket; each is held against the bucket's least one, which makes a row
-each, and what is linked so is one part.  Only then are pairs of a bucket that lie
-in different parts held against each other.  A link inside a part joins nothing
-that isn't joined, so no link is lost to the classes, and a large group of near
-copies costs its rows, not its pairs.
+key are a bucket.  The keys are dealt and sorted once, and each bucket is searched
+as a graph: a fingerprint is held against those of the bucket that nothing has
+reached yet, and what it reaches is a link.  A link between two that are reached
+joins nothing that isn't joined, so no link is lost to the classes, and a bucket
+gives fewer rows than it has.  Only members that are not linked are compared in
+pairs, in blocks of words, at some nanoseconds each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -107,8 +110,8 @@ def blocking_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _buckets(fps: DataFrame) -> DataFrame:
-    """(key, fp, least): the keys that several fingerprints of ``fps`` have."""
+def _keys(fps: DataFrame) -> DataFrame:
+    """(key, fp): every key of the fingerprints of ``fps``."""
 
     def run(batches):
         for batch in batches:
@@ -119,21 +122,96 @@ def _buckets(fps: DataFrame) -> DataFrame:
 
     # a row becomes 128: dealt out first, however few bytes the fingerprints are
     # (by a hash, since a deal by the column itself is taken to be there already)
-    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
-    keys = dealt.mapInArrow(run, "key long, fp long")
-    shared = keys.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("last")).where("least < last").select("key", "least")
-    shared = cut(shared, "shared")  # few: its size is known now, so the keys need not be shuffled again if it is small
-    return cut(keys.join(shared, "key"), "buckets")
+    dealt = fps.select("fp").repartition(_partitions(fps), F.xxhash64("fp"))
+    return dealt.mapInArrow(run, "key long, fp long")
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within ``radius`` bits that connect whatever is linked among ``fps``
+    (signed, distinct), fewer than there are fingerprints: each is held against
+    those that nothing has reached yet."""
+    u, v = [], []
+    rest = np.sort(fps)
+    while len(rest) > 1:
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            near = np.bitwise_count((rest ^ x).view(np.uint64)) <= radius
+            if near.any():
+                reached, rest = rest[near], rest[~near]
+                u.append(np.full(len(reached), x))
+                v.append(reached)
+                queue.extend(reached)
+    empty = [np.empty(0, dtype=np.int64)]
+    return np.concatenate(u or empty), np.concatenate(v or empty)
+
+
+def _linked(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The forests of whole buckets, given as rows in the order of their keys (one or more)."""
+    fresh = np.concatenate([[True], key[1:] != key[:-1]])
+    shared = ~(fresh & np.concatenate([fresh[1:], [True]]))  # not alone under its key
+    key, fp = key[shared], fp[shared]
+    order = np.lexsort((fp, key))
+    key, fp = key[order], fp[order]
+    once = np.ones(len(key), dtype=bool)  # a fingerprint may have a key twice
+    once[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+    key, fp = key[once], fp[once]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, dtype=np.int64)
+    sizes = np.diff(starts, append=len(key))
+    two = starts[sizes == 2]
+    two = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius]
+    found = [(fp[two], fp[two + 1]), *(forest(fp[at : at + n], radius) for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True))]
+    u, v = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+    pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)  # a pair shares many keys
+    return pairs[:, 0], pairs[:, 1]
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v): pairs of different fingerprints of ``fps`` (one column ``fp``,
     distinct) within ``radius`` <= 4 bits; not all, but so many that whatever is
-    linked is connected by them."""
+    linked is connected by them: a forest of each bucket."""
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the keys cover a radius of 0 to {RADIUS} bits")
+
+    def found(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, fp = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        if len(key):
+            yield pa.record_batch([pa.array(x) for x in _linked(key, fp, radius)], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None  # the last bucket so far, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, fp = (batch.column(k).to_numpy().copy() for k in (0, 1))
+            if key[-1] == last:
+                held.append((key, fp))
+                continue
+            last = key[-1]
+            at = int(np.searchsorted(key, last))
+            yield from found([*held, (key[:at], fp[:at])])
+            held = [(key[at:], fp[at:])]
+        if held:
+            yield from found(held)
+
+    # one shuffle of the keys, at every size
+    dealt = _keys(fps).repartition(_partitions(fps), "key").sortWithinPartitions("key")
+    return cut(dealt.mapInArrow(run, "u long, v long").distinct(), "links")
+
+
+def wide_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """:func:`links` for those who verify them otherwise: all pairs to the least of
+    a bucket, and all pairs of a bucket that these leave in different parts, whose
+    number grows with the square of such a bucket."""
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius
-    buckets = _buckets(fps)
+    keys = _keys(fps)
+    shared = keys.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("last")).where("least < last").select("key", "least")
+    shared = cut(shared, "shared")  # few: its size is known now, so the keys need not be shuffled again if it is small
+    buckets = cut(keys.join(shared, "key"), "buckets")
     led = cut(buckets.where("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v")).where(near).distinct(), "led")
     part = components(led).withColumnsRenamed({"node": "fp", "root": "part"})
     placed = cut(buckets.select("key", "fp").join(part, "fp", "left").select("key", F.coalesce("part", "fp").alias("part"), F.col("fp").alias("node")), "placed")

@@ -669,3 +669,51 @@ def test_rows_of_passages_are_made_objects_a_few_at_a_time(monkeypatch):
     sizes = []
     run = passages._in_parts(lambda: lambda b: sizes.append(b.num_rows) or b)
     assert sum(b.num_rows for b in run(iter([batch]))) == 10 and sizes == [3, 3, 3, 1]
+
+
+def test_buckets_give_fewer_links_than_rows_and_none_is_lost(spark):
+    rng = random.Random(21)
+    centre = rng.getrandbits(64)
+    fps = set()
+    for _ in range(1200):  # four to seven bits around a centre: few of them are within four of the least
+        x = centre
+        for bit in rng.sample(range(64), rng.randrange(4, 8)):
+            x ^= 1 << bit
+        fps.add(x)
+    every = np.array(sorted(f - (1 << 64) if f >> 63 else f for f in fps), dtype=np.int64)
+    near = np.bitwise_count((every[:, None] ^ every[None, :]).view(np.uint64)) <= 4
+
+    def classes(us, vs):
+        edges = {f: set() for f in every.tolist()}
+        for a, b in zip(us, vs, strict=True):
+            edges[a].add(b)
+            edges[b].add(a)
+        out, seen = {}, set()
+        for f in sorted(edges):
+            todo = [] if f in seen else [f]
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    out[x] = f
+                    todo.extend(edges[x])
+        return out
+
+    i, j = np.nonzero(np.triu(near, 1))
+    want = classes(every[i].tolist(), every[j].tolist())
+    u, v = (x.tolist() for x in simhash.forest(every, 4))
+    assert len(u) < len(every) and classes(u, v) == want and len(set(want.values())) > 20
+    found = simhash.links(spark.createDataFrame([(f,) for f in every.tolist()], "fp long"))
+    plan = found._jdf.queryExecution().toString()
+    pairs = [(r.u, r.v) for r in found.collect()]
+    assert classes([a for a, _ in pairs], [b for _, b in pairs]) == want and "Join" not in plan
+    key = np.repeat(np.array([1, 2, 5], dtype=np.int64), [1, len(every), 2])
+    got = simhash._linked(key, np.concatenate([every[:1], every, every[:1], every[:1]]), 4)  # alone, a bucket, twice the same
+    assert classes(*(x.tolist() for x in got)) == want and len(got[0]) == len(u)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # buckets go over batches
+    try:
+        some = simhash.links(spark.createDataFrame([(f,) for f in every[:60].tolist()], "fp long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = simhash.links(spark.createDataFrame([(f,) for f in every[:60].tolist()], "fp long")).collect()
+    assert sorted(map(tuple, some)) == sorted(map(tuple, whole)) and whole
