@@ -330,3 +330,30 @@ def test_equal_readings_of_a_text_are_made_once(monkeypatch):
     assert columns._trace_array(pa.array(texts), lambda x: C.traced(x, list_of(ANY)), kind).to_pylist() == [None if x is None else C.trace(x, list_of(ANY)) for x in texts]
     only = ParseOptions(allow_as_string=False)
     assert columns._trace_array(pa.array(["", "{}"]), lambda x: C.traced(x, list_of(ANY), only), kind).to_pylist() == [[], C.trace("{}", list_of(ANY))]
+
+
+def test_regions_that_stand_in_a_text_again():
+    import re
+
+    def plain(text):
+        found, stack, begin, inside = [], [], 0, False
+        for m in re.finditer(r'\\.|["{}\[\]]', text, re.S):
+            c = m[0]
+            if c == '"':
+                inside = not inside
+            elif len(c) == 1 and not inside and c in "{[":
+                begin = begin if stack else m.start()
+                stack.append(c)
+            elif len(c) == 1 and not inside and stack:
+                if stack.pop() + c not in ("{}", "[]"):
+                    stack = []
+                elif not stack:
+                    found.append(text[begin : m.end()])
+        return found
+
+    rng = random.Random(9)
+    for _ in range(3000):
+        some = rng.choices(["{}", "[1]", '{"a": 1}', "{", "]", '"', "\\", " ", "x", "[{}]", '{"\\""}'], k=3)
+        text = "".join(rng.choice(some) for _ in range(rng.randrange(1, 12)))
+        assert regions(text) == plain(text)
+    assert regions("{a: 1} " * 70) == ["{a: 1}"] * 70
